@@ -78,7 +78,7 @@ class Codec:
         ids: list[int] = []
         for m in self.pattern.findall(text):
             b = m.encode()
-            ids += merge_long(b, self.ranks) if len(b) >= LONG else self.encoding.encode_single_piece(b)
+            ids += merge_long(b, self.ranks) if len(b) >= LONG else self.encoding.encode_ordinary(m)
         return ids
 
     def encode(self, text: str) -> list[int]:
