@@ -8,10 +8,11 @@ needs: for a set much larger than m, the first.
 
 1. One pass gives each document its shingle count, a digest of its shingle set and its band keys.
 2. Documents with equal sets form a class; its smallest id stands for it from here on.
-3. Classes that share a band key are candidates. First each is paired with the least of its bucket (a
-   star, as many pairs as rows), the pairs are verified on full sets, and components formed. Then
+3. Classes that share a band key are candidates. First each is paired with one of its bucket (stars, at
+   most as many pairs as rows), the pairs are verified on full sets, and components formed. Then
    every candidate pair whose ends are still in different components is verified too. Pairs within a
    component can't change the result, so nothing is lost and no bucket is expanded into all pairs.
+   Sizes and four bits of each slot tell most pairs that can't be similar before texts are moved.
 4. Components by union-find and star contraction.
 """
 
@@ -29,7 +30,7 @@ from .components import connected_components
 #: 32 bands of 5 slots: a pair at similarity 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
 #: Distinct words whose hash a worker keeps.
-MEMO = 1_000_000
+MEMO = 400_000
 
 _U = np.uint64
 
@@ -98,11 +99,31 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, sixteen slots a word."""
+    bits = (_mix(signature.view(np.uint64)) >> _U(60)).reshape(-1, 16)
+    return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * _U(4)), axis=1).view(np.int64)
+
+
+def _alike(percent: int, m: int) -> "F.Column":
+    """Whether sizes na, nb and sketches allow the similarity. Sizes bound it; of the sketches' slots a
+    pair at the threshold differs in more than this many once in some 300,000 pairs."""
+    q = (1 - percent / 100) * 15 / 16
+    most = int(m * q + 4.5 * (m * q * (1 - q)) ** 0.5) + 1
+    differ = F.lit(0)
+    for i in range(m // 16):
+        x = F.col("sketcha")[i].bitwiseXOR(F.col("sketchb")[i])
+        for s in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differ <= most)
+
+
 def _signer(size: int, bands: int, rows: int):
     def sign(batches):
         memo = WordHash()
         for batch in batches:
-            ids, counts, k1, k2, keys = batch.column(0), [], [], [], []
+            ids, counts, k1, k2, keys, bits = batch.column(0), [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(words_of(text), size, memo)
                 counts.append(len(s))
@@ -110,14 +131,17 @@ def _signer(size: int, bands: int, rows: int):
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     k1.append(int.from_bytes(d[:8], "little", signed=True))
                     k2.append(int.from_bytes(d[8:], "little", signed=True))
-                    keys.append(band_keys(super_minhash(s, bands * rows), rows))
+                    signature = super_minhash(s, bands * rows)
+                    keys.append(band_keys(signature, rows))
+                    bits.append(sketch(signature))
                 else:
                     k1.append(None)
                     k2.append(None)
                     keys.append(None)
+                    bits.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                [ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
             )
 
     return sign
@@ -158,29 +182,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns, whatever their names, are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
+    signed = written(docs.mapInArrow(_signer(size, bands, rows), schema), "signed")
     usable = signed.where("doc_id is not null and k1 is not null")
     classes = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.hint("merge"), (usable.doc_id == classes.rep) & (usable.k1 == classes.k1) & (usable.k2 == classes.k2), "left_semi")
-    rows_ = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = rows_.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    members = written(rows_.join(hubs.hint("merge"), "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
-
-    alike = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"  # sizes bound the similarity
-    first = members.where("rep <> hub").withColumn("other_n", F.col("hub_n")).where(alike)
-    first = written(first.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "star")
+    rows_ = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    hub = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"]  # another in each bucket, so that a poor one does no harm
+    hubs = rows_.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    members = written(rows_.join(hubs.hint("merge"), "key").select("key", "rep", "hub"), "members")
+    facts = usable.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands")
+    facts = written(facts.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi"), "facts")
+    mine, other = (facts.select(*(F.col(c).alias(f"{c}{x}") for c in facts.columns)) for x in "ab")
+    alike = _alike(percent, bands * rows)
+
+    pairs = members.where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    first = pairs.join(mine.hint("merge"), F.col("a") == F.col("repa")).join(other.hint("merge"), F.col("b") == F.col("repb")).where(alike)
+    first = written(first.select("a", "b").distinct(), "star")
     links = _verified(first, docs, size, percent)
 
     found = connected_components(links)
-    placed = members.join(found.hint("merge"), members.rep == found.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(found.hint("merge"), members.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = written(placed, "placed")
     split = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("major"))
-    split = written(split.where("parts > 1").select("key", "major"), "split")
-    minor = placed.join(split.hint("merge"), "key").where("comp <> major").select("key", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    rest = placed.join(minor.hint("merge"), "key").where(f"comp <> other_comp and {alike}")
-    rest = rest.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-    tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = written(rest.join(tested.hint("merge"), ["a", "b"], "left_anti"), "rest")
+    open_ = placed.join(split.where("parts > 1").select("key", "major").hint("merge"), "key")
+    open_ = written(open_.join(facts.hint("merge"), "rep"), "open")
+    mine, other = (open_.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "comp", "major", "n", "sketch", "bands"))) for x in "ab")
+    common = F.filter(F.zip_with("bandsa", "bandsb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    other = other.where("compb <> majorb")
+    rest = mine.join(other.hint("merge"), (mine.key == other.key) & (F.col("compa") != F.col("compb")) & alike & (common[0] == mine.key))
+    rest = rest.select(F.greatest("repa", "repb").alias("a"), F.least("repa", "repb").alias("b")).distinct()
+    rest = written(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         links = links.unionByName(_verified(rest, docs, size, percent))
         found = connected_components(links)
