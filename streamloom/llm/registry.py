@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, minhash, mixing
+from . import bpe, chat, exact, minhash, mixing, vectors, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
+    "op2_warc_derivatives": warc.query,
     "op3_exact_dedup": exact.query,
     "op4_mixing": mixing.query,
     "op5_byte_bpe": bpe.query,
+    "op6_chat_format": chat.query,
+    "op7_embedding_near_dedup": vectors.query,
 }
 
 SQL = {
     "op3_exact_dedup": exact.SQL,
+    "op6_chat_format": chat.SQL,
 }
