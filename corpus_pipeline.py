@@ -1,2 +1,61 @@
-STAGES, ORACLE_SQL = [], None
-def run(spark, sf_dir): raise NotImplementedError
+"""Documents to token ids in five stages, each an operator of streamloom.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. ``run`` writes each stage's rows to the shared folder and reads them as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from streamloom.llm import bpe, common, exact, minhash, mixing, toxicity
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in dropped; rows without an id stay."""
+    return docs.join(common.small(common.written(dropped.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine scores below one half."""
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, name="__toxicity").where(F.col("__toxicity") < 0.5).drop("__toxicity")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return without(docs, exact.exact_duplicates(docs).where("not kept and doc_id is not null"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8), the row with the least doc_id."""
+    return without(docs, minhash.near_duplicates(docs, size=5, percent=80).where("not kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, 0 to 3 times."""
+    sized = docs.select("*", mixing._keyed(F.col("source")).alias("src"), common.word_count(F.col("text")).alias("size"))
+    plan = mixing.mixing_plan(common.written(sized.select("doc_id", "src", "size"), "sized"))
+    taken = mixing.decided(sized, plan).where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with digests of them and of what they decode to."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("byte-level BPE", to_tokens)]
+
+#: No stage but exact dedup can be told in SQL; tests hold the rows against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

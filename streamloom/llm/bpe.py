@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -110,7 +111,7 @@ def _coder(path: str, pattern: str, full: bool):
                 ids = codec.encode(text or "")
                 n.append(len(ids))
                 if full:
-                    every.append(ids)
+                    every.append(np.array(ids, np.int32))
                 digest.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
