@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, lm, minhash, mixing, toxicity, vectors, warc
+from . import bpe, chat, exact, lm, minhash, mixing, toxicity, vectors, warc, wrapper
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.query,
     "op6_chat_format": chat.query,
     "op7_embedding_near_dedup": vectors.query,
+    "op8_html_extraction": wrapper.query,
     "op9_toxicity": toxicity.query,
     "op10_lm_score": lm.query,
 }
