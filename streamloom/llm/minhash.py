@@ -12,7 +12,9 @@ needs: for a set much larger than m, the first.
    most as many pairs as rows), the pairs are verified on full sets, and components formed. Then
    every candidate pair whose ends are still in different components is verified too. Pairs within a
    component can't change the result, so nothing is lost and no bucket is expanded into all pairs.
-   Sizes and four bits of each slot tell most pairs that can't be similar before texts are moved.
+   Sizes and four bits of each slot tell most pairs that can't be similar before texts are moved; what
+   is left in unsettled buckets is compared by whole sets within the join, so that a group of texts that
+   are all just below the threshold is tested in full and yields no rows.
 4. Components by union-find and star contraction.
 """
 
@@ -147,6 +149,17 @@ def _signer(size: int, bands: int, rows: int):
     return sign
 
 
+def _setter(size: int):
+    def sets(batches):
+        memo = WordHash()
+        for batch in batches:
+            own = [shingles(words_of(text), size, memo) for text in batch.column("text").to_pylist()]
+            halves = [s.astype(np.uint32).view(np.int32) for s in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(halves, pa.list_(pa.int32()))], ["rep", "n", "elements"])
+
+    return sets
+
+
 def _verifier(size: int, percent: int):
     def verify(batches):
         memo, last = WordHash(), (None, None)
@@ -207,10 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("major"))
     open_ = placed.join(split.where("parts > 1").select("key", "major").hint("merge"), "key")
     open_ = written(open_.join(facts.hint("merge"), "rep"), "open")
-    mine, other = (open_.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "comp", "major", "n", "sketch", "bands"))) for x in "ab")
+    sets = docs.join(small(written(open_.select(F.col("rep").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi")
+    open_ = open_.join(sets.mapInArrow(_setter(size), "rep long, n long, elements array<int>").hint("merge"), ["rep", "n"])
+    mine, other = (written(open_.where(w), "open").select("key", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "comp", "n", "sketch", "bands", "elements"))) for x, w in (("a", "true"), ("b", "comp <> major")))
     common = F.filter(F.zip_with("bandsa", "bandsb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    other = other.where("compb <> majorb")
-    rest = mine.join(other.hint("merge"), (mine.key == other.key) & (F.col("compa") != F.col("compb")) & alike & (common[0] == mine.key))
+    # half hashes show, but for a few that coincide, what two sets share; the join returns likely links only
+    shared = F.size(F.array_intersect("elementsa", "elementsb")) + 2
+    enough = 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)
+    rest = mine.join(other.hint("merge"), (mine.key == other.key) & (F.col("compa") != F.col("compb")) & alike & (common[0] == mine.key) & enough)
     rest = rest.select(F.greatest("repa", "repb").alias("a"), F.least("repa", "repb").alias("b")).distinct()
     rest = written(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
