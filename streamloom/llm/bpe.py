@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 #: Characters after which the next safe boundary is taken.
 PIECE = 50_000
@@ -105,7 +105,7 @@ def _coder(path: str, pattern: str, full: bool):
     def code(batches):
         codec = Codec(path, pattern)
         names = {i: str(i) for i in codec.bytes}
-        for batch in batches:
+        for batch in pieces(batches):
             n, digest, back, every = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = codec.encode(text or "")
@@ -142,7 +142,7 @@ def decode(ids: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     def back(batches):
         table_ = {i: b for b, i in read_ranks(path).items()}
-        for batch in batches:
+        for batch in pieces(batches):
             raw = [None if x is None else b"".join(map(table_.__getitem__, x)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(raw, pa.binary())], [*rest, "decoded"])
 

@@ -60,6 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batches, most: int = 4_000_000):
+    """The rows of Arrow batches in batches of some ``most`` bytes, so that a worker holds few texts at once."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, in UTF-8: bytes.lower and
     bytes.split touch ASCII only, which is exactly this definition."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table, words_of, written
+from .common import pieces, small, table, words_of, written
 
 VOCABULARY, CORE = 65_536, 1_024
 #: Distinct words a task holds before it passes its counts on.
@@ -32,7 +32,7 @@ def _count_words(batches):
         return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     n: Counter = Counter()
-    for batch in batches:
+    for batch in pieces(batches):
         for text in batch.column(0).to_pylist():
             n.update(words_of(text))
             if len(n) > HELD:
@@ -71,7 +71,7 @@ def _count_pairs(shared, core: int):
         words, size = shared.value, (core + 1) ** 2
         at = Words((w, i + 1) for i, w in enumerate(words))
         n = {(m, t): np.zeros(k, np.int64) for m in (0, 1) for t, k in ((1, len(words) + 1), (2, size))}
-        for batch in batches:
+        for batch in pieces(batches):
             for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = _ids(text, at)
                 if len(ids):
@@ -146,7 +146,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     def run(batches):
         own = shared.value
         at = Words((w, i + 1) for i, w in enumerate(own.words))
-        for batch in batches:
+        for batch in pieces(batches):
             n, goal, back = zip(*(own.losses(t, at) for t in batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
             g, b = np.array(goal, float), np.array(back, float)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(g), pa.array(b), pa.array(g - b)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])

@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, words_of, written
+from .common import pieces, small, words_of, written
 from .components import connected_components
 
 #: 32 bands of 5 slots: a pair at similarity 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
 #: Distinct words whose hash a worker keeps.
-MEMO = 400_000
+MEMO = 250_000
 
 _U = np.uint64
 
@@ -124,7 +124,7 @@ def _alike(percent: int, m: int) -> "F.Column":
 def _signer(size: int, bands: int, rows: int):
     def sign(batches):
         memo = WordHash()
-        for batch in batches:
+        for batch in pieces(batches):
             ids, counts, k1, k2, keys, bits = batch.column(0), [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(words_of(text), size, memo)
@@ -152,7 +152,7 @@ def _signer(size: int, bands: int, rows: int):
 def _setter(size: int):
     def sets(batches):
         memo = WordHash()
-        for batch in batches:
+        for batch in pieces(batches):
             own = [shingles(words_of(text), size, memo) for text in batch.column("text").to_pylist()]
             halves = [s.astype(np.uint32).view(np.int32) for s in own]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(halves, pa.list_(pa.int32()))], ["rep", "n", "elements"])
@@ -163,7 +163,7 @@ def _setter(size: int):
 def _verifier(size: int, percent: int):
     def verify(batches):
         memo, last = WordHash(), (None, None)
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 if last[0] != y:  # the hub of a star comes again and again

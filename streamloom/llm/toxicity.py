@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 GAP, SPAN = 0.5, 6
 LETTERS = 64
 #: Characters of a word taken at once; longer words are read in windows that overlap by half.
 WIDTH = 24
 #: Bounds of the training sample: labelled texts with and without the mark, by hash of the id.
-TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
+TOXIC_DOCS, CLEAN_DOCS = 2000, 4000
 LANDMARKS, SEEDS, NEGATIVES = 160, 400, 12_000
 #: Words whose decision a worker keeps.
 MEMO = 300_000
@@ -237,7 +237,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 def _scorer(model: Model, text_at: int, name: str):
     def score(batches):
         memo: dict[str, float] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             worst, held, texts = [], [], batch.column(text_at).to_pylist()
             for start in range(0, len(texts), 500):
                 held = [tokens(t or "") for t in texts[start : start + 500]]

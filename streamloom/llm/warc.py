@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 VERSION = b"WARC/1.1"
 #: Header names of the format, as it defines them (fixed values).
@@ -113,7 +113,7 @@ def _builder(make):
     """make: bytes of the WARC stream of a row."""
 
     def build(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 data = make(*rest)
@@ -149,7 +149,7 @@ def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """(key, warc): one response record per page; null url or html counts as empty."""
 
     def build(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             k, u, h = (c.to_pylist() for c in batch.columns)
             data = [response(b or "", c or "", date, str(a)) for a, b, c in zip(k, u, h)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["key", "warc"])

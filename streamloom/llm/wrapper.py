@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import pieces, small, table, written
 
 #: Shares that make a wrapper: of pages in which a template node has the reference's text, of the
 #: pages in which it is matched at all, of varying text that a child must hold to be descended into.
@@ -286,7 +286,7 @@ def main_text(page: str, root: list[str] | None, drops: list[list[str]]) -> str:
 
 
 def _skeletons(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         k, u, h = (c.to_pylist() for c in batch.columns)
         trees = [json.dumps(skeleton(x or ""), separators=(",", ":")) for x in h]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([host_of(x) for x in u], pa.string()), pa.array(trees, pa.string())], ["page_id", "host", "tree"])
@@ -307,7 +307,7 @@ def _align(batches):
         tree = json.loads(text)
         return tree, shape(tree)
 
-    for batch in batches:
+    for batch in pieces(batches):
         for host, own, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "reference"))):
             tree = json.loads(own)
             ref, ref_shape = loaded(reference)
@@ -324,7 +324,7 @@ def _align(batches):
 
 
 def _wrap(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         roots = []
         for tree, pages, nodes in zip(*(batch.column(c).to_pylist() for c in ("reference", "pages", "nodes"))):
             stats = {tuple(json.loads(n["path"])): (n["matched"], n["same"], n["size"]) for n in nodes}
@@ -334,7 +334,7 @@ def _wrap(batches):
 
 def _extract(batches):
     load = lru_cache(4096)(json.loads)
-    for batch in batches:
+    for batch in pieces(batches):
         texts = [main_text(h or "", *(load(w) if w else (None, []))) for h, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
