@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import arrow_map, pieces, table
 
 #: Characters after which the next safe boundary is taken.
 PIECE = 50_000
@@ -133,7 +133,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
     docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.mapInArrow(_coder(path, pattern, ids), schema)
+    return arrow_map(docs, _coder(path, pattern, ids), schema)
 
 
 def decode(ids: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -147,7 +147,7 @@ def decode(ids: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(raw, pa.binary())], [*rest, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema if f.name != ids_col)
-    return ids.mapInArrow(back, f"{schema}, decoded binary" if rest else "decoded binary")
+    return arrow_map(ids, back, f"{schema}, decoded binary" if rest else "decoded binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow table (a key and a few numbers) is broadcast: some tens of MB in an executor.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of an Arrow batch that a Python worker is sent.
+ARROW_BYTES = 8_000_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -60,6 +63,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _trim() -> None:
+    """Give freed memory back, as a worker that waits for its next task would else keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches of ARROW_BYTES at most (set for the session, unless it has
+    less), after which the worker gives its memory back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > ARROW_BYTES or int(now.rstrip("b")) <= 0:
+        df.sparkSession.conf.set(key, str(ARROW_BYTES))
+
+    def run(batches):
+        yield from f(batches)
+        _trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batches, most: int = 4_000_000):
     """The rows of Arrow batches in batches of some ``most`` bytes, so that a worker holds few texts at once."""
     for batch in batches:

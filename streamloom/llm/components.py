@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_map, written
 
 #: Links held by one union-find before it emits its forest and starts anew.
 CHUNK = 500_000
@@ -65,7 +65,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     links = links.where("u is not null and v is not null and u <> v")
-    links = written(links.mapInArrow(_contract, "u long, v long"), "links")
+    links = written(arrow_map(links, _contract, "u long, v long"), "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small, table, words_of, written
+from .common import arrow_map, pieces, small, table, words_of, written
 
 VOCABULARY, CORE = 65_536, 1_024
 #: Distinct words a task holds before it passes its counts on.
@@ -44,7 +44,7 @@ def _count_words(batches):
 
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[bytes]:
     """The most frequent words of all texts, ties in byte order."""
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = arrow_map(docs.select(F.col(text_col).cast("string")), _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
 
 
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     ids = written(target_ids.toDF("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "target")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(small(ids), "doc_id", "left")
     shared = spark.sparkContext.broadcast(words)
-    counted = texts.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_count_pairs(shared, core), "model int, kind int, place long, n long")
+    counted = arrow_map(texts.select("text", F.coalesce("target", F.lit(False)).alias("target")), _count_pairs(shared, core), "model int, kind int, place long, n long")
     sums = counted.groupBy("model", "kind", "place").agg(F.sum("n").alias("n")).toArrow()  # bounded by the tables' sizes
     model, kind, place, n = (sums.column(c).to_numpy() for c in ("model", "kind", "place", "n"))
     tables = []
@@ -151,7 +151,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
             g, b = np.array(goal, float), np.array(back, float)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(g), pa.array(b), pa.array(g - b)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

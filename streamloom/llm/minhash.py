@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small, words_of, written
+from .common import arrow_map, pieces, small, words_of, written
 from .components import connected_components
 
 #: 32 bands of 5 slots: a pair at similarity 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     texts = written(docs.join(small(ids), "doc_id", "left_semi"), "texts")
     left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(_verifier(size, percent), "a long, b long"), "verified")
+    return written(arrow_map(both, _verifier(size, percent), "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
-    signed = written(docs.mapInArrow(_signer(size, bands, rows), schema), "signed")
+    signed = written(arrow_map(docs, _signer(size, bands, rows), schema), "signed")
     usable = signed.where("doc_id is not null and k1 is not null")
     classes = written(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.hint("merge"), (usable.doc_id == classes.rep) & (usable.k1 == classes.k1) & (usable.k2 == classes.k2), "left_semi")
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.join(split.where("parts > 1").select("key", "major").hint("merge"), "key")
     open_ = written(open_.join(facts.hint("merge"), "rep"), "open")
     sets = docs.join(small(written(open_.select(F.col("rep").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi")
-    open_ = open_.join(sets.mapInArrow(_setter(size), "rep long, n long, elements array<int>").hint("merge"), ["rep", "n"])
+    open_ = open_.join(arrow_map(sets, _setter(size), "rep long, n long, elements array<int>").hint("merge"), ["rep", "n"])
     mine, other = (written(open_.where(w), "open").select("key", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "comp", "n", "sketch", "bands", "elements"))) for x, w in (("a", "true"), ("b", "comp <> major")))
     common = F.filter(F.zip_with("bandsa", "bandsb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     # half hashes show, but for a few that coincide, what two sets share; the join returns likely links only

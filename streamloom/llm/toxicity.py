@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import arrow_map, pieces, table
 
 GAP, SPAN = 0.5, 6
 LETTERS = 64
@@ -274,7 +274,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
     equal scores. Texts are read whole, whatever their length.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), name), f"{fields}, `{name}` double")
+    return arrow_map(docs, _scorer(model, docs.columns.index(text_col), name), f"{fields}, `{name}` double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow_map, table, written
 from .components import connected_components, forest
 
 BLOCKS = 8
@@ -190,9 +190,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     reps = valid.join(classes.hint("merge"), ["k1", "k2"]).where("vec_id = rep").dropDuplicates(["rep", "k1", "k2"]).select("rep", "mult", "embedding")
     reps = written(reps, "reps")
     radius = ((2 - 2 * cosine) / blocks) ** 0.5 or 1e-9
-    sizes = reps.mapInArrow(_counter(radius, blocks), "dim int, cell long, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).where(f"n > {TILE}")
+    sizes = arrow_map(reps, _counter(radius, blocks), "dim int, cell long, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).where(f"n > {TILE}")
     chunks = {(r.dim, r.cell): -(-r.n // TILE) for r in sizes.collect()}  # no more than the grid has cells
-    stays = reps.mapInArrow(_dealer(radius, blocks, chunks), "dim int, cell long, i int, j int, chunk int, home boolean, rep long, mult long, vec binary")
+    stays = arrow_map(reps, _dealer(radius, blocks, chunks), "dim int, cell long, i int, j int, chunk int, home boolean, rep long, mult long, vec binary")
     found = stays.groupBy("dim", "cell", "i", "j").applyInPandas(_joiner(cosine, blocks), "rep long, links long, other long")
     found = written(found, "found")
     parts = connected_components(found.where("links = 0"), "rep", "other")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import arrow_map, pieces, table
 
 VERSION = b"WARC/1.1"
 #: Header names of the format, as it defines them (fixed values).
@@ -137,7 +137,7 @@ def derive(warcs: DataFrame, key_col: str, data_col: str) -> DataFrame:
     may be concatenated to a file. Other record types and null or empty streams give no row; a stream
     that is cut off or malformed raises. Equal responses give equal records. Other columns aren't read.
     """
-    return warcs.select(F.col(key_col).cast("long"), F.col(data_col)).mapInArrow(_builder(lambda data: data), SCHEMA)
+    return arrow_map(warcs.select(F.col(key_col).cast("long"), F.col(data_col)), _builder(lambda data: data), SCHEMA)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -154,7 +154,7 @@ def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             data = [response(b or "", c or "", date, str(a)) for a, b, c in zip(k, u, h)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["key", "warc"])
 
-    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(build, "key long, warc binary")
+    return arrow_map(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")), build, "key long, warc binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

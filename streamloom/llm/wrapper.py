@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small, table, written
+from .common import arrow_map, pieces, small, table, written
 
 #: Shares that make a wrapper: of pages in which a template node has the reference's text, of the
 #: pages in which it is matched at all, of varying text that a child must hold to be descended into.
@@ -341,14 +341,14 @@ def _extract(batches):
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) for each host of pages (page_id, url, html): JSON of what ``induce`` returns."""
-    trees = written(pages.select("page_id", "url", "html").mapInArrow(_skeletons, "page_id long, host string, tree string"), "trees")
+    trees = written(arrow_map(pages.select("page_id", "url", "html"), _skeletons, "page_id long, host string, tree string"), "trees")
     references = trees.groupBy("host").agg(F.min(F.struct("page_id", "tree"))["tree"].alias("reference"), F.count("*").alias("pages"))
     references = written(references, "references")
     paired = trees.join(small(references.select("host", "reference"), 20_000), "host").select("host", "tree", "reference")
-    sums = paired.mapInArrow(_align, "host string, path string, matched long, same long, size long")
+    sums = arrow_map(paired, _align, "host string, path string, matched long, same long, size long")
     nodes = sums.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("matched", "same", "size")))
     nodes = nodes.groupBy("host").agg(F.collect_list(F.struct("path", "matched", "same", "size")).alias("nodes"))  # one per node of one page
-    return written(references.join(nodes.hint("merge"), "host").mapInArrow(_wrap, "host string, wrapper string"), "wrappers")
+    return written(arrow_map(references.join(nodes.hint("merge"), "host"), _wrap, "host string, wrapper string"), "wrappers")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -363,7 +363,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     own = wrappers(pages)
     host = F.udf(host_of, "string", useArrow=True)
     joined = pages.withColumn("host", host("url")).join(small(own), "host", "left").select("page_id", "url", "html", "wrapper")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return arrow_map(joined, _extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
