@@ -26,10 +26,11 @@ VERSION = b"WARC/1.1"
 TYPE, ID, URI, DATE, LENGTH, REFERS, BLOCK, PAYLOAD = "WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "Content-Length", "WARC-Refers-To", "WARC-Block-Digest", "WARC-Payload-Digest"
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
-_SPACE = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
+_TAG = re.compile(r"<(?:/?([A-Za-z][A-Za-z0-9]*)|[!?])[^<>]*>")
+#: Elements that end a line of plain text (fixed values: names of the HTML standard).
+BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split()
+)
 
 
 def sha1(data: bytes) -> str:
@@ -43,8 +44,9 @@ def record_id(*names: str) -> str:
 
 def plain_text(page: str) -> str:
     """All text of a page, one line a block."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
-    return _LINES.sub("\n", _SPACE.sub(" ", text)).strip()
+    shown = _TAG.sub(lambda m: "\n" if m[1] and m[1].lower() in BREAKS else "", _HIDDEN.sub(" ", page))
+    lines = (" ".join(line.split()) for line in html.unescape(shown).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -145,18 +147,14 @@ def read_warc(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """(key, warc): one response record per page; null url or html counts as empty."""
-
-    def build(batches):
-        for batch in pieces(batches):
-            k, u, h = (c.to_pylist() for c in batch.columns)
-            data = [response(b or "", c or "", date, str(a)) for a, b, c in zip(k, u, h)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["key", "warc"])
-
-    return arrow_map(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")), build, "key long, warc binary")
+def page_derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Derivatives, as ``derive`` gives them, of a response record made of each page; null url or html
+    counts as empty. The record is written and parsed as WARC bytes within one task."""
+    key = F.col(id_col).cast("long")
+    rows = pages.select(key.alias("key"), key.cast("string").alias("name"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return arrow_map(rows, _builder(lambda name, url, page: response(url or "", page or "", date, name or "")), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    made = derive(page_responses(table(spark, sf_dir, "pages")), "key", "warc")
+    made = page_derivatives(table(spark, sf_dir, "pages"))
     return made.select(F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
