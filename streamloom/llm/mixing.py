@@ -20,7 +20,7 @@ from .common import small, table, word_count, written
 CAP = 3.0
 #: Slices of the order in which a source's documents get their last copy.
 SLICES = 4096
-NEWTON, FILLS = 60, 3
+NEWTON, FILLS = 60, 12
 
 
 def _keyed(source) -> "F.Column":
