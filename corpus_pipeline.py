@@ -35,10 +35,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 3 times."""
-    sized = docs.select("*", mixing._keyed(F.col("source")).alias("src"), common.word_count(F.col("text")).alias("size"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whole, so that no column of its own clashes with the mix's
+    sized = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), mixing._keyed(F.col("source")).alias("src"), common.word_count(F.col("text")).alias("size"))
     plan = mixing.mixing_plan(common.written(sized.select("doc_id", "src", "size"), "sized"))
     taken = mixing.decided(sized, plan).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,6 +249,20 @@ def test_toxicity_query(spark, docs):
     assert toxicity.scored(docs, toxicity.train(["a b", "bad"], [0, 1])).count() == len(DOCS)
 
 
+def test_lm_vocabulary(spark):
+    """The histogram's cut gives what a whole sort gives."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.2, 200) % 3000) for _ in range(100)] + [None, ""]
+    counts = {}
+    for t in texts:
+        for w in lm.words_of(t):
+            counts[w] = counts.get(w, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for size in (1, 3, 50, 700, 10_000):
+        assert lm.vocabulary(df, size=size) == sorted(counts, key=lambda w: (-counts[w], w))[:size]
+    assert lm.vocabulary(df.limit(0)) == []
+
+
 def test_lm(spark, docs):
     """Scores against a plain computation of the same model."""
     models = lm.fit(docs, spark.createDataFrame([(1,), (10,)], "doc_id long"), size=6, core=3)
@@ -285,6 +299,21 @@ def test_lm(spark, docs):
         assert math.isclose(r.target_loss, goal(t), abs_tol=1e-4) and math.isclose(r.background_loss, back(t), abs_tol=1e-4) and math.isclose(r.score, goal(t) - back(t), abs_tol=2e-4)
 
 
+def test_pipeline_clashes(spark):
+    """Null ids, sources and texts, repeated rows, and columns named as the operators name theirs."""
+    import corpus_pipeline
+
+    own = ["src", "size", "target", "key", "rate", "base", "slice", "copies", "row", "score", "digest", "kept", "component_id", "last"]
+    rows = [(*r[:2], "en", r[2], 0, *(f"{c}{i}" for c in own)) for i, r in enumerate(DOCS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own))
+    known = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for d in (docs, docs.limit(0)):
+            out = stage(spark, d, SF)
+            assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= (known if d is docs else set()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(DOCS)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
