@@ -133,19 +133,22 @@ def _joiner(cosine: float, blocks: int):
         x = unit(_matrix(df["vec"], n))
         y = rotated(x, blocks)
         step = y.shape[1] // blocks
+        order = np.argsort(y[:, (block + 1) * step - 1], kind="stable")  # by a coordinate that the grid doesn't use
+        x, y = x[order], y[order]
         z = y[:, block * step : (block + 1) * step]
-        square = (z * z).sum(axis=1)
-        home, chunk, rep, mult = (df[c].to_numpy() for c in ("home", "chunk", "rep", "mult"))
+        stop = np.searchsorted(z[:, -1], z[:, -1] + budget**0.5 + 1e-6, side="right")
+        square, one = (z * z).sum(axis=1)[:, None], np.ones((n, 1))
+        # the product of these is the squared distance within the block, but for single precision's rounding
+        left, right = np.hstack([z, square, one]).astype(np.float32), np.hstack([-2 * z, one, square]).astype(np.float32).T
+        home, chunk, rep, mult = (df[c].to_numpy()[order] for c in ("home", "chunk", "rep", "mult"))
         whole = df["i"].iloc[0] == df["j"].iloc[0]
         links, us, vs = np.zeros(n, np.int64), [], []
         held = 0
-        for start in range(0, n, 256):
-            p = np.arange(start, min(n, start + 256))
-            near = square[p][:, None] + square[None, :] - 2 * (z[p] @ z.T) <= budget + 1e-9
-            near &= home[p][:, None] | home[None, :]
-            near &= (p[:, None] < np.arange(n)[None, :]) & (whole | (chunk[p][:, None] != chunk[None, :]))
-            ps, qs = np.nonzero(near)
-            ps += start
+        for start in range(0, n, 128):
+            end = min(n, start + 128)
+            ps, qs = np.nonzero(left[start:end] @ right[:, start : stop[end - 1]] <= np.float32(budget + 1e-5))
+            near = (ps < qs) & (home[ps + start] | home[qs + start]) & (whole | (chunk[ps + start] != chunk[qs + start]))
+            ps, qs = ps[near] + start, qs[near] + start
             for k in range(0, len(ps), SLICE):
                 a, b = ps[k : k + SLICE], qs[k : k + SLICE]
                 diff = y[a] - y[b]
