@@ -35,6 +35,8 @@ TOXIC_DOCS, CLEAN_DOCS = 2000, 4000
 LANDMARKS, SEEDS, NEGATIVES = 160, 400, 12_000
 #: Words whose decision a worker keeps.
 MEMO = 300_000
+#: Witnesses sought for each toxic text: one that is covered by others may still be the only one elsewhere.
+COVER = 2
 FLOOR = -3.0
 _EDGE = ".,;:!?\"'()[]{}<>-_…“”„»«¿¡"
 _SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
@@ -187,10 +189,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
             for w in ws:
                 if w in where:
                     where[w].append(i)
-    covered, seeds = np.zeros(len(y), bool), []
+    covered, seeds = np.zeros(len(y), int), []
     for w in likely:
-        if (~covered[where[w]]).sum() >= 2:
-            covered[where[w]] = True
+        if (covered[where[w]] < COVER).sum() >= 2:
+            covered[where[w]] += 1
             seeds.append(w)
             if len(seeds) == SEEDS:
                 break
@@ -260,10 +262,11 @@ def held_out(doc_id) -> "F.Column":
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of the labelled rows that aren't held out: of each label the
     first by hash of the id, TOXIC_DOCS and CLEAN_DOCS at most. Null labels and ids are left out; of
-    several labels of one id the largest counts."""
+    several labels of one id the largest counts, of several texts the least."""
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [rows.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in (("toxic > 0", TOXIC_DOCS), ("toxic <= 0", CLEAN_DOCS))]
-    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select("text", "toxic").toArrow()
+    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").toArrow()
     return train(sample.column(0).to_pylist(), [int(v > 0) for v in sample.column(1).to_pylist()])
 
 

@@ -243,6 +243,35 @@ def test_toxicity_learns_and_tolerates():
     assert toxicity.train([], []).decide(["x"]).shape == (1,)
 
 
+def test_toxicity_words_that_stand_together():
+    # each insult stands with another in every text, so a single cover of the texts would leave some out
+    rng = np.random.default_rng(4)
+    insults = ["grumblefink", "vilecrumb", "snotwhistle", "mudgoblin"]
+    texts, marks = [], []
+    for i in range(600):
+        t = ["".join(rng.choice("ba ko ri tu me sa lo ni pe du".split(), rng.integers(1, 4))) for _ in range(30)]
+        if i % 4 == 0:
+            a, b = rng.choice(insults, 2, replace=False)
+            t[4], t[20] = str(a), str(b)
+        texts.append(" ".join(t))
+        marks.append(int(i % 4 == 0))
+    decided = toxicity.train(texts, marks).decide(insults)
+    assert (decided > 0).all(), decided
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 2, f"kori tume {'vilecrumb' if i % 2 else 'salo'}") for i in range(400)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, None), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    original = toxicity.train
+    try:
+        toxicity.train = lambda texts, toxic: seen.append((texts, toxic)) or original(texts, toxic)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = original
+    assert len(seen[0][0]) <= 2
+
+
 def test_toxicity_query(spark, docs):
     rows = toxicity.query(spark, SF).collect()
     assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
