@@ -31,6 +31,8 @@ from .common import arrow_map, pieces, small, table, written
 #: Shares that make a wrapper: of pages in which a template node has the reference's text, of the
 #: pages in which it is matched at all, of varying text that a child must hold to be descended into.
 SAME, MATCHED, HOLDS = 0.9, 0.5, 0.6
+#: Elements open at once; deeper ones become siblings, as in browsers, so that no text is lost.
+DEPTH = 200
 #: Pages of a host from which containers inside the root may be called template.
 LEAST = 4
 
@@ -55,10 +57,11 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "says", "children", "parent", "hash", "size", "own")
+    __slots__ = ("tag", "label", "says", "children", "parent", "depth", "own")
 
     def __init__(self, tag: str, label: str, says: bool, parent: "Node | None"):
         self.tag, self.label, self.says, self.parent = tag, label, says, parent
+        self.depth: int = parent.depth + 1 if parent else 0
         self.children: list[Node] = []
         self.own: list[str] = []
 
@@ -127,6 +130,8 @@ def walk(page: str, on_text, on_edge) -> Node:
                 up = up.parent
             if found is not None:
                 close(found)
+        if node.depth == DEPTH:
+            close(node)
         label, says = named(tag, m[4])
         own = Node(tag, label, says, node)
         if tag in BLOCK:
@@ -180,12 +185,21 @@ def shape(node: list) -> tuple:
     return node[0], tuple(shape(c) for c in node[4])
 
 
+def paths(node: tuple, at: tuple = ()):
+    yield at
+    for i, c in enumerate(node[1]):
+        yield from paths(c, (*at, i))
+
+
 @lru_cache(65_536)
 def match(a: tuple, b: tuple) -> tuple[int, tuple[tuple[tuple, tuple], ...]]:
     """Simple tree matching of two shapes: pairs in the mapping, and of the pairs the paths (child
     numbers from the root) in a and in b."""
     if a[0] != b[0]:
         return 0, ()
+    if a == b:  # all nodes, which only one mapping has
+        both = tuple((x, x) for x in paths(a))
+        return len(both), both
     p, q = a[1], b[1]
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
     sub = {}

@@ -211,6 +211,13 @@ def test_simple_tree_matching():
     assert n == 4 and ((1,), (0,)) in pairs and ((1, 0), (0, 0)) in pairs and ((2,), (1,)) in pairs
 
 
+def test_wrapper_deep_markup(spark):
+    deep = ["<body>" + "<div>" * 3000 + "hello" + "</div>" * 3000, "<p>" + "<b>" * 5000 + "x", "<ul>" + "<li>a<ul>" * 900]
+    rows = [(i, "http://deep/", h) for i, h in enumerate(deep * 2)]
+    got = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].replace("\n", "") for i in range(3)] == ["hello", "x", "a" * 900]
+
+
 def test_warc_round_trip(spark):
     page = "<p>a &amp; b</p><script>x</script>é<br>c"
     (headers, block), = warc.parse(warc.response("http://u/", page, "2024-01-01T00:00:00Z", "1"))
