@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a key and a few numbers) is broadcast: some tens of MB in an executor.
 BROADCAST_ROWS = 500_000
+#: Bytes of text up to which such a table is broadcast.
+BROADCAST_BYTES = 64_000_000
 
 #: Bytes of an Arrow batch that a Python worker is sent.
 ARROW_BYTES = 8_000_000
@@ -53,10 +55,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` rows, else with a merge hint (adaptive
-    execution then splits hot keys). df must be cheap to count, so a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most ``rows`` rows and its strings ``size`` bytes, else with
+    a merge hint (adaptive execution then splits hot keys). df must be cheap to read, so a written table."""
+    fits = df.limit(rows + 1).count() <= rows
+    texts = [F.octet_length(f"`{f.name}`") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    if fits and texts:
+        fits = (df.agg(F.sum(sum(F.coalesce(x, F.lit(0)) for x in texts))).first()[0] or 0) <= size
+    return F.broadcast(df) if fits else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

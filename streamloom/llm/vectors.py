@@ -36,6 +36,8 @@ _NEIGHBOURS = [(0, 1), (1, -1), (1, 0), (1, 1)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of x over their lengths; first scaled by powers of two, so that no square over- or underflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=1e-300))[1][:, None])
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -183,8 +185,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """
     df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
-    fine = F.col("vec_id").isNotNull() & F.coalesce(~bad & (norm > 0) & (norm < float("inf")), F.lit(False))
+    fine = F.col("vec_id").isNotNull() & F.coalesce(~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
     keyed = df.withColumn("fine", fine).select("vec_id", F.when(F.col("fine"), F.col("embedding")).alias("embedding"))
     keyed = keyed.withColumn("k1", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding"))).withColumn("k2", F.when(F.col("embedding").isNotNull(), F.xxhash64(F.lit(1), F.col("embedding"))))
     keyed = written(keyed, "vectors")

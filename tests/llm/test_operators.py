@@ -188,6 +188,21 @@ def test_vectors(spark):
     assert all(got[200 + i].n_links == 0 and got[200 + i].component_id == 200 + i and got[200 + i].kept for i in range(len(bad)))
 
 
+def test_vectors_of_any_length(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (4, [5e-324, 0.0]), (5, [1.0, 0.0]), (6, [-0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_small_reads_sizes(spark):
+    from streamloom.llm import common
+
+    wide = common.written(spark.createDataFrame([(1, "x" * 5000, None)], "id long, `a.b` string, c binary"), "wide")
+    hint = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in hint(common.small(wide)) and "merge" in hint(common.small(wide, size=4000)).lower()
+    assert "merge" in hint(common.small(wide, rows=0)).lower()
+
+
 def test_vectors_tiles(spark, monkeypatch):
     before = [tuple(r) for r in vectors.query(spark, SF).orderBy("vec_id").collect()]
     monkeypatch.setattr(vectors, "TILE", 40)
