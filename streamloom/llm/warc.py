@@ -14,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +83,27 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
+def decoded(http: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without its transfer and content codings; one that is unknown or broken is left as it is."""
+    named = {k.lower(): v.lower() for k, v in http}
+    try:
+        if "chunked" in named.get("transfer-encoding", ""):
+            at, out = 0, []
+            while (n := int(payload[at : (end := payload.index(b"\r\n", at))].split(b";")[0], 16)) > 0:
+                if end + 2 + n > len(payload):
+                    raise ValueError("a chunk is cut off")
+                out.append(payload[end + 2 : end + 2 + n])
+                at = end + 4 + n
+            payload = b"".join(out)
+        coding = named.get("content-encoding", "")
+        if coding in ("gzip", "x-gzip", "deflate"):
+            raw = coding == "deflate" and payload[:1] not in (b"\x78", b"\x58", b"\x38", b"\x18", b"\x08")
+            payload = zlib.decompress(payload, -15 if raw else 47)
+    except (ValueError, zlib.error):
+        pass
+    return payload
+
+
 def response(uri: str, page: str, date: str, name: str) -> bytes:
     payload = page.encode("utf-8", "surrogatepass")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -95,9 +117,9 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[
     source, uri, date = headers.get(ID.lower(), ""), headers.get(URI.lower(), ""), headers.get(DATE.lower(), "")
     charset = next((m[1] for k, v in http if k.lower() == "content-type" and (m := re.search(r"charset=[\"']?([\w-]+)", v))), "utf-8")
     try:
-        page = payload.decode(charset, "replace")
+        page = decoded(http, payload).decode(charset, "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = decoded(http, payload).decode("utf-8", "replace")
     text = plain_text(page).encode("utf-8", "replace")
     fields = [("source-record-id", source), ("source-date", date), ("source-block-digest", sha1(block)), ("source-payload-digest", sha1(payload)), ("source-status", status)]
     fields += [(f"source-http-{k.lower()}", v) for k, v in http]
@@ -137,7 +159,8 @@ def derive(warcs: DataFrame, key_col: str, data_col: str) -> DataFrame:
 
     Two rows for each response: metadata, conversion. ``record`` holds WARC/1.1 bytes; those of any rows
     may be concatenated to a file. Other record types and null or empty streams give no row; a stream
-    that is cut off or malformed raises. Equal responses give equal records. Other columns aren't read.
+    that is cut off or malformed raises. Text is read without transfer and content codings (chunked, gzip,
+    deflate); digests are of the payload as it stands. Equal responses give equal records. Other columns aren't read.
     """
     return arrow_map(warcs.select(F.col(key_col).cast("long"), F.col(data_col)), _builder(lambda data: data), SCHEMA)
 

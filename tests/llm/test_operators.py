@@ -245,6 +245,19 @@ def test_warc_round_trip(spark):
     assert f"source-payload-digest: {warc.sha1(page.encode())}" in back[1][1].decode() and headers["warc-record-id"] in back[1][1].decode()
 
 
+def test_warc_codings():
+    import gzip
+    import zlib
+
+    page = "<p>één</p><p>two</p>".encode()
+    packed = gzip.compress(page)
+    chunks = b"5;x=1\r\n" + packed[:5] + b"\r\n" + f"{len(packed) - 5:X}\r\n".encode() + packed[5:] + b"\r\n0\r\n\r\n"
+    text = lambda head, body: warc.derivatives({"warc-record-id": "<x>"}, b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)[1][1].decode()
+    assert text(b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks) == "één\ntwo"
+    assert text(b"Content-Encoding: deflate", zlib.compress(page)) == text(b"Content-Encoding: deflate", zlib.compress(page)[2:-4]) == "één\ntwo"
+    assert text(b"Content-Encoding: gzip", page) == text(b"Transfer-Encoding: chunked", page) == "één\ntwo"
+
+
 def test_toxicity_learns_and_tolerates():
     rng = np.random.default_rng(2)
     syllables = "ba ko ri tu me sa lo ni pe du".split()
