@@ -1,11 +1,15 @@
 """Cross-entropy difference between a target and a background n-gram model (Moore and Lewis, 2010).
 
-Both models share order, smoothing and one vocabulary: the VOCABULARY most frequent words of all
-documents, anything else being one unknown word. Bigrams are over the CORE most frequent words and a
-class of all others; a word of that class is drawn from the class by its unigram. P(class | previous class)
-is interpolated with the unigram by Witten and Bell's rule, unigrams are smoothed by adding one half. Both tables
-are bounded by these two numbers, so they are broadcast; counts are over whole documents and all of
-them: each task sums its own before they are shuffled.
+Both models share order, smoothing and vocabulary. P(word | previous word) is interpolated with the unigram by
+Witten and Bell's rule, unigrams are smoothed by adding one half, with one more place for a word never seen.
+Every word and every bigram of all documents is counted (``gathered``): the tables grow with the corpus and stay
+in the shared folder. Each document's own bigrams are then joined to them (``score_all``) by sort-merge joins,
+which adaptive execution splits at frequent bigrams. Words are held as 64-bit hashes; two of a hundred million
+words coincide with probability 0.0003.
+
+``fit`` and ``score`` are the same model in bounded form, for callers who ask for it: ``size`` most frequent words, anything else
+being one unknown word, and bigrams over the ``core`` most frequent ones and a class of all others, whose words are
+drawn from the class by their unigram. Its tables are bounded by these two numbers, so they are broadcast.
 
 A document's score is the mean over its words of target loss minus background loss, in nats: the lower,
 the more it is like the target.
@@ -17,10 +21,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, small, table, words_of, written
+from .common import arrow_map, pieces, small, table, word_count, words_of, written
 
 VOCABULARY, CORE = 65_536, 1_024
 #: Distinct words a task holds before it passes its counts on.
@@ -165,7 +170,79 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     return arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
+class Hashes(dict):
+    """Words to 64-bit hashes, kept for words seen before."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _grams(batches):
+    """(doc, target, prev, word, n) for the distinct bigrams of each text; a text starts after 0."""
+    at = Hashes()
+    for batch in pieces(batches):
+        docs, targets, sizes, parts = [], [], [], []
+        for doc, text, target in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "target"))):
+            words = words_of(text)
+            if not words:
+                continue
+            own = np.fromiter(map(at.__getitem__, words), np.uint64, len(words))
+            pairs = np.empty((len(own), 2), np.uint64)
+            pairs[0, 0], pairs[1:, 0], pairs[:, 1] = 0, own[:-1], own
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
+            parts.append((pairs[first], np.diff(np.r_[first, len(pairs)])))
+            docs.append(doc)
+            targets.append(target)
+            sizes.append(len(first))
+            if len(at) > HELD:
+                at.clear()
+        if parts:
+            pairs, n = (np.concatenate(x) for x in zip(*parts))
+            prev, word = (np.ascontiguousarray(pairs[:, k]).view(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, sizes), pa.int64()), pa.array(np.repeat(targets, sizes), pa.bool_()), pa.array(prev), pa.array(word), pa.array(n, pa.int64())], ["doc", "target", "prev", "word", "n"])
+
+
+def gathered(grams: DataFrame) -> DataFrame:
+    """(prev, word, goal, back): both losses of every bigram of grams (doc, target, prev, word, n)."""
+    n = grams.groupBy("prev", "word").agg(F.sum("n").alias("n0"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("n1"))
+    n = written(n, "bigrams")
+    words = written(n.groupBy("word").agg(F.sum("n0").alias("w0"), F.sum("n1").alias("w1")), "words")
+    kinds = [F.count(F.when(F.col(f"n{m}") > 0, 1)).alias(f"k{m}") for m in (0, 1)]
+    prevs = written(n.groupBy("prev").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *kinds), "prevs")
+    total = words.agg(F.sum("w0"), F.sum("w1"), F.count("*")).first()
+    both = n.join(small(words), "word").join(small(prevs), "prev")
+
+    def loss(m: int):
+        p = (F.col(f"w{m}") + 0.5) / F.lit((total[m] or 0) + 0.5 * (total[2] + 1))
+        c, k = F.col(f"c{m}"), F.col(f"k{m}")
+        return -F.log(F.when(c > 0, (F.col(f"n{m}") + k * p) / (c + k)).otherwise(p))
+
+    return written(both.select("prev", "word", loss(1).alias("goal"), loss(0).alias("back")), "losses")
+
+
+def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs, by models of all docs
+    (background) and those whose id is in target_ids (one column), with all their words and bigrams.
+
+    A null, empty or wordless text has no words and 0 everywhere. Repeated rows are scored each; other
+    columns aren't read.
+    """
+    ids = written(target_ids.toDF("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "target")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))  # rows that are equal share their sums, and so their means
+    texts = docs.join(small(ids), "doc_id", "left").select("doc", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    grams = arrow_map(texts, _grams, "doc long, target boolean, prev long, word long, n long")
+    losses = gathered(grams).hint("merge")
+    n = F.sum("n")
+    sums = grams.drop("target").join(losses, ["prev", "word"]).groupBy("doc").agg((F.sum(F.col("n") * F.col("goal")) / n).alias("goal"), (F.sum(F.col("n") * F.col("back")) / n).alias("back"))
+    rows = docs.select("doc", "doc_id", word_count(F.col("text")).alias("n_tokens")).join(sums.hint("merge"), "doc", "left")
+    goal, back = (F.coalesce(c, F.lit(0.0)) for c in ("goal", "back"))
+    return rows.select("doc_id", "n_tokens", goal.alias("target_loss"), back.alias("background_loss"), (goal - back).alias("score"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(docs, fit(docs, good))
+    return score_all(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))

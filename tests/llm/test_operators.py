@@ -363,6 +363,25 @@ def test_lm(spark, docs):
         assert math.isclose(r.target_loss, goal(t), abs_tol=1e-4) and math.isclose(r.background_loss, back(t), abs_tol=1e-4) and math.isclose(r.score, goal(t) - back(t), abs_tol=2e-4)
 
 
+def test_lm_gathers_all(spark, docs, tmp_path):
+    """The query's scores are those of a model in which every word has its own bigrams."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.1, 400) % 1400)) for i in range(40)] + [(40, None), (41, " "), (3, "w1 w2"), (3, "w1 w2"), (None, "w2 w1 w1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = lm.score(table, lm.fit(table, spark.createDataFrame([(i,) for i in range(1, 30, 2)], "doc_id long"), size=10_000, core=10_000))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    got = sorted(lm.query(spark, str(tmp_path)).collect(), key=key)
+    want = sorted(want.collect(), key=key)
+    assert len(set(" ".join(t or "" for _, t in rows).split())) > 1_024 and len(got) == len(rows)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and all(math.isclose(x, y, abs_tol=1e-4) for x, y in zip(g[2:], w[2:]))
+    none = lm.score_all(docs, docs.select("doc_id").limit(0)).collect()
+    assert len(none) == len(DOCS) and all(r.n_tokens == len(words(dict((i, t) for i, t, _ in DOCS)[r.doc_id])) for r in none)
+    assert lm.score_all(docs.limit(0), docs.select("doc_id")).collect() == []
+
+
 def test_pipeline_clashes(spark):
     """Null ids, sources and texts, repeated rows, and columns named as the operators name theirs."""
     import corpus_pipeline
