@@ -7,7 +7,9 @@ steps on all sources at once. A rate depends on source and size only, so the ste
 (source, size), not on documents. Rates are then rounded to whole copies: floor(w), and one copy more
 for the documents first in a pseudo-random order weighted by the fraction, as long as they fit into
 what the source still lacks. The cut in that order comes from totals of slices of it and the documents
-of one slice, so no source is ever sorted whole. Last, single documents that fit fill what remains.
+of one slice, so no source is ever sorted whole. Last, what remains is filled in rounds: the documents that still
+fit are put in another such order and cut alike, until no document fits into what its source lacks. A round
+takes one document of each source at least, and leaves less room than the document that it stopped at.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import small, table, word_count, written
 CAP = 3.0
 #: Slices of the order in which a source's documents get their last copy.
 SLICES = 4096
-NEWTON, FILLS = 60, 12
+NEWTON = 60
 
 
 def _keyed(source) -> "F.Column":
@@ -107,28 +109,69 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataF
     last = inside.where("run <= room").groupBy("src").agg(F.max(F.struct("key", "doc_id")).alias("last"))
     plan = state.join(cut.hint("merge"), "src", "left").join(last.hint("merge"), "src", "left")
     # without a cut all fractions fit; with a cut but no last document, what lies below the slice
-    plan = plan.select("src", "source_size", "target", "t", "mean", "slice", "last", F.array().cast("array<bigint>").alias("filled"))
-    plan = written(plan, "plan")
-    for _ in range(FILLS):
-        took = _copied(dealt.join(small(plan.select("src", F.col("slice").alias("cut"), "last", "filled", "target")), "src"))
-        took = written(took.select("src", "doc_id", "size", "copies", "target"), "took")
-        room = took.groupBy("src").agg(F.floor(F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("room"))
-        fits = took.join(small(written(room, "room")), "src").where(f"size > 0 and size <= room and copies < {CAP} and doc_id is not null")
-        best = fits.groupBy("src").agg(F.max(F.struct("size", F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("best"))
-        best = written(best, "best")
-        if not best.take(1):
-            break
-        grown = F.when(F.col("best").isNull(), F.col("filled")).otherwise(F.array_append("filled", F.col("best")))
-        plan = written(plan.join(best.hint("merge"), "src", "left").withColumn("filled", grown).drop("best"), "plan")
-    return plan
+    plan = written(plan.select("src", "source_size", "target", "t", "mean", "slice", "last", F.array().cast(_ROUNDS).alias("rounds")), "plan")
+    took = _copied(dealt.join(small(plan.select("src", F.col("slice").alias("cut"), "last", "rounds", "target")), "src"))
+    took = written(took.select("src", "doc_id", "size", "copies", "target"), "took")
+    room = written(took.groupBy("src").agg(F.floor(F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("room")), "room")
+    fits = written(took.drop("target").join(small(room), "src").where(_FITS), "fits")
+    done, n = None, 0
+    while fits.take(1):
+        ends = _filled(fits, n)
+        n += 1
+        done = ends if done is None else done.unionByName(ends)
+        state = ends.select("src", F.struct("n", "room", "key", "id").alias("round"), F.col("left"))
+        grown = fits.drop("room").join(small(state), "src")
+        grown = grown.withColumn("copies", F.col("copies") + _given(F.col("round"), F.col("copies")))
+        fits = written(grown.select("src", "doc_id", "size", "copies", F.col("left").alias("room")).where(_FITS), "fits")
+    if done is not None:
+        rounds = done.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("n", "room", "key", "id"))).alias("more"))
+        plan = plan.join(rounds.hint("merge"), "src", "left").withColumn("rounds", F.coalesce("more", "rounds")).drop("more")
+    return written(plan, "plan")
+
+
+_ROUNDS = "array<struct<n:int,room:bigint,key:double,id:bigint>>"
+#: Documents that can have one copy more.
+_FITS = f"size > 0 and size <= room and copies < {CAP} and doc_id is not null"
+
+
+def _place(n) -> "F.Column":
+    """A document's place in the order of round n, in [0, 1)."""
+    return F.xxhash64("doc_id", n).bitwiseAND(2**53 - 1) / F.lit(2.0**53)
+
+
+def _given(r, copies) -> "F.Column":
+    """1 where round r (n, room, key, id) gives a document of so many copies one more, else 0."""
+    fits = (F.col("size") > 0) & (F.col("size") <= r["room"]) & (copies < int(CAP)) & F.col("doc_id").isNotNull()
+    place = _place(r["n"])
+    return F.when(fits & ((place < r["key"]) | (place == r["key"]) & (F.col("doc_id") <= r["id"])), 1).otherwise(0).cast("long")
+
+
+def _filled(fits: DataFrame, n: int) -> DataFrame:
+    """(src, n, room, key, id, left): where the order of round n is cut, and the room that it leaves."""
+    keyed = fits.withColumn("key", _place(F.lit(n))).withColumn("slice", F.floor(F.col("key") * SLICES))
+    totals = keyed.groupBy("src", "slice").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
+    totals = totals.withColumn("run", F.sum("words").over(Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
+    over = F.when(F.col("run") > F.col("room"), F.struct("slice", (F.col("room") - F.col("run") + F.col("words")).alias("rest")))
+    cut = totals.groupBy("src").agg(F.first("room").alias("room"), F.max("run").alias("all"), F.min(over).alias("c"))
+    cut = written(cut.select("src", "room", "all", "c.slice", "c.rest"), "cut")
+    order = Window.partitionBy("src", "slice").orderBy("key", "doc_id")
+    inside = keyed.drop("room").join(small(cut.where("slice is not null").select("src", "slice", "rest")), ["src", "slice"])
+    inside = inside.withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = inside.withColumn("through", F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0)))  # with rows of equal id
+    last = inside.where("run <= rest").groupBy("src").agg(F.max(F.struct("key", "doc_id", "through")).alias("last"))
+    whole = F.col("slice").isNull()
+    key = F.when(whole, 1.0).otherwise(F.coalesce("last.key", F.col("slice") / SLICES))
+    left = F.when(whole, F.col("room") - F.col("all")).otherwise(F.col("rest") - F.coalesce("last.through", F.lit(0)))
+    ends = cut.join(last.hint("merge"), "src", "left")
+    return written(ends.select("src", F.lit(n).alias("n"), "room", key.alias("key"), F.coalesce("last.doc_id", F.lit(-(2**63))).alias("id"), left.alias("left")), "round")
 
 
 def _copied(dealt: DataFrame) -> DataFrame:
-    """copies for rows with base, key, slice and their source's cut, last and filled."""
+    """copies for rows with base, key, slice and their source's cut, last and rounds."""
     more = F.when(F.col("key").isNull(), False).when(F.col("cut").isNull() | (F.col("slice") < F.col("cut")), True)
     more = more.otherwise(F.coalesce((F.col("slice") == F.col("cut")) & (F.struct("key", "doc_id") <= F.col("last")), F.lit(False)))
-    filled = F.coalesce(F.size(F.filter("filled", lambda x: x == F.col("doc_id"))), F.lit(0))
-    return dealt.withColumn("copies", F.least(F.col("base") + more.cast("long") + filled, F.lit(int(CAP))).cast("long"))
+    copies = F.least(F.col("base") + more.cast("long"), F.lit(int(CAP))).cast("long")
+    return dealt.withColumn("copies", F.coalesce(F.aggregate("rounds", copies, lambda c, r: c + _given(r, c)), copies))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

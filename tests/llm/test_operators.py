@@ -135,6 +135,21 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+
+def test_mixing_fills_the_gap(spark):
+    """However long the document that the order stops at, no document is left that fits."""
+    sizes = [40_000, 20_000, 10_000] + [1 + i % 7 for i in range(400)]
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(1000 + i, "w " * 50, "c") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1, 2)).collect()
+    source, taken, target = {i: s for i, _, s in rows}, {}, {}
+    for r in got:
+        s = source[r.doc_id]
+        taken[s], target[s] = taken.get(s, 0) + r.taken, r.target
+    for r in got:
+        lack = target[source[r.doc_id]] - taken[source[r.doc_id]]
+        assert lack > -1e-6 and r.taken == r.copies * r.size and (r.size == 0 or r.copies == 3 or r.size > lack)
+
+
 def test_bpe(spark, docs):
     import public_tokenizers as P
 
