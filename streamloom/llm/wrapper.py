@@ -4,9 +4,9 @@ Every page is reduced to the tree of its containers (children of one label in a
 node). The page of least id is the host's reference; each page is aligned with it by simple tree matching
 (Yang, 1991): the largest mapping of nodes that keeps labels, parents and order. Over all pages of a host,
 a node whose text is the same as the reference's in most pages where it is matched is template, and
-one whose text varies is a slot. From the body the wrapper goes down into the container with
-most of the varying text; that is the host's content root, and template containers inside it are left
-out. A host without varying slots (one page, or copies of one) has no root; then the page's article
+one whose text varies is a slot. From the body the wrapper goes down to the lowest container that holds all
+varying content text, or to the article or main element with most of it; that is the host's content root. Template
+containers inside it are left out. A host without varying slots (one page, or copies of one) has no root; then the page's article
 or main element, else its body, is the root. Elements that say what they are (nav, footer, form, a
 class such as sidebar, advert, cookie or comment) are never content. Paragraphs and headings of the root
 are kept whatever they say, so lines that many pages share are not lost.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pieces, small, table, written
 
 #: Shares that make a wrapper: of pages in which a template node has the reference's text, of the
-#: pages in which it is matched at all, of varying text that a child must hold to be descended into.
+#: pages in which it is matched at all, of varying text that a child with an article or main element must hold.
 SAME, MATCHED, HOLDS = 0.9, 0.5, 0.6
 #: Elements open at once; deeper ones become siblings, as in browsers, so that no text is lost.
 DEPTH = 200
@@ -152,20 +152,27 @@ def clean(raw: str) -> str:
 
 
 def skeleton(page: str) -> list:
-    """[label, content?, hash, size, children] of the page's container tree."""
+    """[label, content?, hash, size, children, hash of the content text in no container child] of the page's
+    container tree."""
 
     def text(node: Node, raw: str) -> None:
         node.own.append(raw)
 
-    root = walk(page, text, lambda node: None)
+    return folded(walk(page, text, lambda node: None))
+
+
+def folded(root: Node, seen=None) -> list:
+    """skeleton of a tree whose text is in own; seen(node, tree) is called for containers, where repeated ones share a tree."""
 
     def fold(node: Node) -> list:
-        h, size, children = xxhash.xxh3_64(), 0, []
+        h, size, children, rest = xxhash.xxh3_64(), 0, [], []
         own = "".join(node.own)
         if own:
             own = clean(own)
             h.update(own)
             size += len(own)
+        if own:
+            rest.append(own)
         for child in node.children:
             c = fold(child)
             h.update(c[2].to_bytes(8, "little"))
@@ -176,7 +183,11 @@ def skeleton(page: str) -> list:
                     last[2], last[3] = xxhash.xxh3_64_intdigest(last[2].to_bytes(8, "little") + c[2].to_bytes(8, "little")), last[3] + c[3]
                 else:
                     children.append(c)
-        return [node.label, not node.says, h.intdigest(), size, children]
+                if seen:
+                    seen(child, children[-1])
+            elif c[3] and not child.says:
+                rest.append(str(c[2]))
+        return [node.label, not node.says, h.intdigest(), size, children, xxhash.xxh3_64_intdigest("\0".join(rest)) if rest else 0]
 
     return fold(root)
 
@@ -232,21 +243,31 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def induce(reference: list, stats: dict[tuple, tuple[int, int, int]], pages: int) -> tuple[list[str] | None, list[list[str]]]:
+def named_content(node: list) -> bool:
+    """Whether the tree has an article or main element."""
+    return node[1] and (node[0].split(".")[0] in ("article", "main") or any(map(named_content, node[4])))
+
+
+def induce(reference: list, stats: dict[tuple, tuple[int, int, int, int]], pages: int) -> tuple[list[str] | None, list[list[str]]]:
     """(label path of the content root or None, label paths of template containers inside it) from the
-    reference tree and, by path in it, (matched, same, varying size)."""
+    reference tree and, by path in it, (matched, same, varying size, pages with other content text in no child)."""
 
     def varying(path: tuple) -> bool:
-        matched, same, _ = stats.get(path, (0, 0, 0))
+        matched, same, *_ = stats.get(path, (0, 0, 0, 0))
         return matched > 0 and same < SAME * matched
 
     node, path, labels = reference, (), [reference[0]]
     if not varying(()):
         return None, []
     while True:
-        inner = [(stats.get((*path, i), (0, 0, 0))[2], i) for i, c in enumerate(node[4]) if c[1] and varying((*path, i))]
+        inner = [(stats.get((*path, i), (0, 0, 0, 0))[2], i) for i, c in enumerate(node[4]) if c[1] and c[0].split(".")[0] != "header"]
         size, i = max(inner, key=lambda x: (x[0], -x[1]), default=(0, 0))
-        if not size or size < HOLDS * stats[path][2] and node[0] not in ("#", "html"):
+        if not size or not varying((*path, i)):
+            break
+        if named_content(node[4][i]):
+            if size < HOLDS * stats[path][2] and node[0] not in ("#", "html"):
+                break
+        elif stats[path][3] or any(x for x, k in inner if k != i):  # text that the child doesn't hold
             break
         node, path = node[4][i], (*path, i)
         labels.append(node[0])
@@ -256,7 +277,7 @@ def induce(reference: list, stats: dict[tuple, tuple[int, int, int]], pages: int
 
     def inside(n: list, p: tuple, names: list[str]) -> None:
         for i, c in enumerate(n[4]):
-            matched, same, _ = stats.get((*p, i), (0, 0, 0))
+            matched, same, *_ = stats.get((*p, i), (0, 0, 0, 0))
             if pages >= LEAST and matched >= MATCHED * pages and same >= SAME * matched and c[0].split(".")[0] in ("div", "section", "ul", "ol", "table"):
                 drops.append([*names, c[0]])
             else:
@@ -307,14 +328,14 @@ def _skeletons(batches):
 
 
 def _align(batches):
-    """Sums over the pages of a task: by host and path in the reference, matched, same, varying size."""
-    sums: dict = defaultdict(lambda: [0, 0, 0])
+    """Sums over the pages of a task: by host and path in the reference, matched, same, varying size, other rest."""
+    sums: dict = defaultdict(lambda: [0, 0, 0, 0])
 
     def out():
         rows = [(h, json.dumps(p), *v) for (h, p), v in sums.items()]
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["host", "path", "matched", "same", "size"])
+        columns = list(zip(*rows)) or [()] * 6
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["host", "path", "matched", "same", "size", "rest"])
 
     @lru_cache(256)
     def loaded(text: str):
@@ -325,12 +346,16 @@ def _align(batches):
         for host, own, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "reference"))):
             tree = json.loads(own)
             ref, ref_shape = loaded(reference)
-            for p, q in match(shape(tree), ref_shape)[1]:
+            pairs = match(shape(tree), ref_shape)[1]
+            mapped = {p for p, _ in pairs}
+            for p, q in pairs:
                 a, b = at_path(tree, p), at_path(ref, q)
                 s = sums[host, q]
                 s[0] += 1
                 s[1] += a[2] == b[2]
                 s[2] += a[3] if a[2] != b[2] else 0
+                # text outside the matched containers that isn't the reference's
+                s[3] += a[2] != b[2] and (a[5] != b[5] or any(c[1] and c[3] and (*p, i) not in mapped for i, c in enumerate(a[4])))
         if len(sums) > 100_000:
             yield out()
             sums.clear()
@@ -341,7 +366,7 @@ def _wrap(batches):
     for batch in pieces(batches):
         roots = []
         for tree, pages, nodes in zip(*(batch.column(c).to_pylist() for c in ("reference", "pages", "nodes"))):
-            stats = {tuple(json.loads(n["path"])): (n["matched"], n["same"], n["size"]) for n in nodes}
+            stats = {tuple(json.loads(n["path"])): (n["matched"], n["same"], n["size"], n["rest"]) for n in nodes}
             roots.append(json.dumps(induce(json.loads(tree), stats, pages)))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(roots, pa.string())], ["host", "wrapper"])
 
@@ -359,9 +384,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
     references = trees.groupBy("host").agg(F.min(F.struct("page_id", "tree"))["tree"].alias("reference"), F.count("*").alias("pages"))
     references = written(references, "references")
     paired = trees.join(small(references.select("host", "reference"), 20_000), "host").select("host", "tree", "reference")
-    sums = arrow_map(paired, _align, "host string, path string, matched long, same long, size long")
-    nodes = sums.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("matched", "same", "size")))
-    nodes = nodes.groupBy("host").agg(F.collect_list(F.struct("path", "matched", "same", "size")).alias("nodes"))  # one per node of one page
+    sums = arrow_map(paired, _align, "host string, path string, matched long, same long, size long, rest long")
+    nodes = sums.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("matched", "same", "size", "rest")))
+    nodes = nodes.groupBy("host").agg(F.collect_list(F.struct("path", "matched", "same", "size", "rest")).alias("nodes"))  # one per node of one page
     return written(arrow_map(references.join(nodes.hint("merge"), "host"), _wrap, "host string, wrapper string"), "wrappers")
 
 

@@ -235,6 +235,14 @@ def test_wrapper(spark):
     assert got[10] == "" and got[11] == "a < b\nc" and got[12] == "one"
 
 
+def test_wrapper_keeps_varying_siblings(spark):
+    """The root holds all varying text, not most of it."""
+    page = "<body><div class=top>Site</div><div class=main><h1>title{0}</h1><div class=lead>lead{0}</div><div class=text>{1}</div></div></body>"
+    rows = [(i, "http://h.example/", page.format(i, f"word{i} " * 50)) for i in range(6)]
+    got = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join([f"title{i}", f"lead{i}", " ".join([f"word{i}"] * 50)]) for i in range(6))
+
+
 def test_simple_tree_matching():
     a, b = ("r", (("x", ()), ("y", (("z", ()),)), ("w", ()))), ("r", (("y", (("z", ()), ("q", ()))), ("w", ())))
     n, pairs = wrapper.match(a, b)
