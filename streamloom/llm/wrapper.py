@@ -6,7 +6,7 @@ node). The page of least id is the host's reference; each page is aligned with i
 a node whose text is the same as the reference's in most pages where it is matched is template, and
 one whose text varies is a slot. From the body the wrapper goes down to the lowest container that holds all
 varying content text, or to the article or main element with most of it; that is the host's content root. Template
-containers inside it are left out. A host without varying slots (one page, or copies of one) has no root; then the page's article
+containers inside it are left out of the pages where they have the template's text. A host without varying slots (one page, or copies of one) has no root; then the page's article
 or main element, else its body, is the root. Elements that say what they are (nav, footer, form, a
 class such as sidebar, advert, cookie or comment) are never content. Paragraphs and headings of the root
 are kept whatever they say, so lines that many pages share are not lost.
@@ -248,8 +248,8 @@ def named_content(node: list) -> bool:
     return node[1] and (node[0].split(".")[0] in ("article", "main") or any(map(named_content, node[4])))
 
 
-def induce(reference: list, stats: dict[tuple, tuple[int, int, int, int]], pages: int) -> tuple[list[str] | None, list[list[str]]]:
-    """(label path of the content root or None, label paths of template containers inside it) from the
+def induce(reference: list, stats: dict[tuple, tuple[int, int, int, int]], pages: int) -> tuple[list[str] | None, list[list]]:
+    """(label path of the content root or None, [label path, hash] of template containers inside it) from the
     reference tree and, by path in it, (matched, same, varying size, pages with other content text in no child)."""
 
     def varying(path: tuple) -> bool:
@@ -279,7 +279,7 @@ def induce(reference: list, stats: dict[tuple, tuple[int, int, int, int]], pages
         for i, c in enumerate(n[4]):
             matched, same, *_ = stats.get((*p, i), (0, 0, 0, 0))
             if pages >= LEAST and matched >= MATCHED * pages and same >= SAME * matched and c[0].split(".")[0] in ("div", "section", "ul", "ol", "table"):
-                drops.append([*names, c[0]])
+                drops.append([[*names, c[0]], c[2]])
             else:
                 inside(c, (*p, i), [*names, c[0]])
 
@@ -287,9 +287,10 @@ def induce(reference: list, stats: dict[tuple, tuple[int, int, int, int]], pages
     return labels, drops
 
 
-def main_text(page: str, root: list[str] | None, drops: list[list[str]]) -> str:
-    """Blocks of the page's content root, one a line."""
-    root_at, drop_at = tuple(root or ()), {tuple(d) for d in drops}
+def main_text(page: str, root: list[str] | None, drops: list[list]) -> str:
+    """Blocks of the page's content root, one a line, without containers that have a template's path and text."""
+    root_at, drop_at = tuple(root or ()), {(tuple(d), h) for d, h in drops}
+    tree_of: dict[int, list] = {}
     levels = {"wrapper": [], "article": [], "body": []}
     depth: dict[int, tuple] = {}
     held: list[tuple[int, str]] = []
@@ -305,7 +306,7 @@ def main_text(page: str, root: list[str] | None, drops: list[list[str]]) -> str:
                 is_root = bool(root_at) and node.tag in CONTAINER and kept_path == root_at
                 article = article or node.tag in ("article", "main") and not out
                 # a header inside the article holds its headings
-                out = out or node.says or node.tag == "header" and not article or node.tag in CONTAINER and kept_path in drop_at
+                out = out or node.says or node.tag == "header" and not article or id(node) in tree_of and (kept_path, tree_of[id(node)][2]) in drop_at
                 depth[id(node)] = (kept_path, out, wrapped or is_root, article, node)
         return depth[id(node)]
 
@@ -316,7 +317,20 @@ def main_text(page: str, root: list[str] | None, drops: list[list[str]]) -> str:
                 levels[level].append(text)
         held.clear()
 
-    walk(page, lambda node, raw: held.append((facts(node), raw)), flush)
+    runs: list[tuple[Node, str | None]] = []
+
+    def text(node: Node, raw: str) -> None:
+        node.own.append(raw)
+        runs.append((node, raw))
+
+    top = walk(page, text, lambda node: runs.append((node, None)))
+    if drop_at:
+        folded(top, lambda node, tree: tree_of.__setitem__(id(node), tree))
+    for node, raw in runs:
+        if raw is None:
+            flush()
+        else:
+            held.append((facts(node), raw))
     return "\n".join(levels["wrapper"] or levels["article"] or levels["body"])
 
 

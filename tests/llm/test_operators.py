@@ -243,6 +243,14 @@ def test_wrapper_keeps_varying_siblings(spark):
     assert all(got[i] == "\n".join([f"title{i}", f"lead{i}", " ".join([f"word{i}"] * 50)]) for i in range(6))
 
 
+def test_wrapper_drops_by_text(spark):
+    """A template's path doesn't drop other text, neither in a later container nor on another page."""
+    page = "<body><article><div>{1}</div><ul><li>x{0}</ul><div>own text {0}</div></article></body>"
+    rows = [(i, "http://h.example/", page.format(i, "Fixed notice")) for i in range(19)] + [(19, "http://h.example/", page.format(19, "other"))]
+    got = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"x{i}\nown text {i}" for i in range(19)) and got[19] == "other\nx19\nown text 19"
+
+
 def test_simple_tree_matching():
     a, b = ("r", (("x", ()), ("y", (("z", ()),)), ("w", ()))), ("r", (("y", (("z", ()), ("q", ()))), ("w", ())))
     n, pairs = wrapper.match(a, b)
