@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,43 +16,70 @@ BROADCAST_BYTES = 64_000_000
 #: Bytes of an Arrow batch that a Python worker is sent.
 ARROW_BYTES = 8_000_000
 
-_made: list[tuple[SparkSession, str]] = []
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a part of the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a part of the
+    warehouse, which is only taken if it isn't a machine's own folder or the executors are threads of the driver."""
     own = spark.conf.get("spark.checkpoint.dir", None)
-    return (own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+    if own:
+        return own.rstrip("/")
+    house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if (house.startswith(("file:", "/")) or ":" not in house) and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return house + "/_scratch"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder for a table that is removed when the scope around the call ends (``scope``), and
+    in any case when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/streamloom-{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    if _scopes:
+        _scopes[-1].append((spark, path))
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _filesystem(spark, path)
+    system.delete(target, True)
+
+
+@contextlib.contextmanager
+def scope():
+    """Tables that operators write within it are removed at its end. What they return reads those tables, so write or
+    collect the result inside; without a scope they stay until the driver ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
             remove(spark, path)
-        except Exception:  # the session may be gone; files in the shared folder do no harm
-            return
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """The rows of df written as Parquet in the shared folder and read again: lineage ends here, and
-    a lost executor costs no recomputation."""
+    a lost executor costs no recomputation. A ``path`` of one's own is not removed."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = path or new_path(spark, tag)
+    df.write.parquet(own)
+    if path is None:
+        system, target = _filesystem(spark, own)
+        system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(own)
+    out._scratch = own
+    return out
+
+
+def spent(df: DataFrame | None) -> None:
+    """Remove the table behind what ``written`` returned: nothing reads it any more."""
+    if df is not None:
+        remove(df.sparkSession, df._scratch)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

@@ -1,15 +1,21 @@
 """Cross-entropy difference between a target and a background n-gram model (Moore and Lewis, 2010).
 
-Both models share order, smoothing and vocabulary. P(word | previous word) is interpolated with the unigram by
-Witten and Bell's rule, unigrams are smoothed by adding one half, with one more place for a word never seen.
-Every word and every bigram of all documents is counted (``gathered``): the tables grow with the corpus and stay
-in the shared folder. Each document's own bigrams are then joined to them (``score_all``) by sort-merge joins,
-which adaptive execution splits at frequent bigrams. Words are held as 64-bit hashes; two of a hundred million
-words coincide with probability 0.0003.
+Both models share order, smoothing and vocabulary: all words of all documents. A text is a chain of words between two
+boundaries. P(word | previous word) = (n(previous, word) + MU * P(word)) / (n(previous) + MU), the mean of a Dirichlet
+prior around the unigram (MacKay and Peto, 1995), whose counts are smoothed by adding one half.
 
-``fit`` and ``score`` are the same model in bounded form, for callers who ask for it: ``size`` most frequent words, anything else
-being one unknown word, and bigrams over the ``core`` most frequent ones and a class of all others, whose words are
-drawn from the class by their unigram. Its tables are bounded by these two numbers, so they are broadcast.
+Every word and every bigram is counted; nothing is capped, so the tables grow with the corpus:
+
+1. ``shards``: each batch of some MB of texts becomes one row: hashes of its distinct words and the texts as numbers
+   into them. Texts are read and split once, whatever follows.
+2. ``_requests``: each shard sends its distinct words and bigrams, as sorted 64-bit keys with their counts, packed by
+   ranges of the key (buckets). A frequent bigram is one key a shard, so no bucket is hot.
+3. ``_answers``: a bucket adds up the counts of its keys over all shards and answers each shard in its own order.
+   The number of buckets follows the number of keys, so a bucket's memory is bounded.
+4. ``_losses``: a shard with its answers has all counts that its texts need.
+
+Answers are a written table, so a lost executor costs one shard or bucket. With many more buckets than keys in a shard
+a packed row holds one key; the cost is then that of a plain join, still linear.
 
 A document's score is the mean over its words of target loss minus background loss, in nats: the lower,
 the more it is like the target.
@@ -17,232 +23,208 @@ the more it is like the target.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, small, table, word_count, words_of, written
+from .common import arrow_map, pieces, small, table, words_of, written
 
-VOCABULARY, CORE = 65_536, 1_024
-#: Distinct words a task holds before it passes its counts on.
-HELD = 300_000
+#: Weight of the unigram within a bigram's estimate, in counts.
+MU = 20.0
+#: Keys of a bucket, on average.
+BUCKET_KEYS = 1_000_000
+#: Distinct words whose hash a worker keeps.
+MEMO = 300_000
 
+_U = np.uint64
+_BOUNDARY = 0x5851F42D4C957F2D
+_SHARD = "shard long, docs array<long>, sizes array<int>, target binary, words binary, tokens binary, n_keys long, n_events long, n_target long"
+_REQUEST = "bucket long, shard long, keys binary, size int, n binary, m binary"
+_ANSWER = "shard long, bucket long, size int, n binary, m binary, kinds long"
+_LOSS = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
-def _count_words(batches):
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-    n: Counter = Counter()
-    for batch in pieces(batches):
-        for text in batch.column(0).to_pylist():
-            n.update(words_of(text))
-            if len(n) > HELD:
-                yield out()
-                n = Counter()
-    if n:
-        yield out()
+class Hashes(dict):
+    """Words to 64-bit hashes, kept for words seen before."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all texts, ties in byte order.
 
-    A histogram of the counts (seven leading bits of each, so some thousand levels) finds the level that
-    the last word is on; only words from there up are sorted, so tasks don't each send ``size`` words.
-    """
-    counts = arrow_map(docs.select(F.col(text_col).cast("string")), _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    low = F.greatest(F.floor(F.log2("n")) - 6, F.lit(0)).cast("int")  # bits that a level leaves out
-    counts = written(counts.withColumn("low", low).withColumn("level", F.expr("shiftright(n, low)")).select("word", "n", "low", "level"), "words")
-    left, least = size, 0
-    for r in counts.groupBy("low", "level").agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("n")).collect():
-        left, least = left - r.c, r.n
-        if left <= 0:
-            break
-    return [bytes(r.word) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
-
-
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-def _ids(text: str | None, at: dict[bytes, int]) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-
-
-def _pairs(ids: np.ndarray, core: int) -> np.ndarray:
-    """Places in the table of classes: (previous, own); a text starts after the unknown class."""
-    c = np.where(ids > core, 0, ids)
-    return np.concatenate([[0], c[:-1]]) * (core + 1) + c
-
-
-def _count_pairs(shared, core: int):
-    """Rows (model, table, place, n): table 1 for words, 2 for pairs; model 1 for the target's texts."""
-
-    def count(batches):
-        words, size = shared.value, (core + 1) ** 2
-        at = Words((w, i + 1) for i, w in enumerate(words))
-        n = {(m, t): np.zeros(k, np.int64) for m in (0, 1) for t, k in ((1, len(words) + 1), (2, size))}
-        for batch in pieces(batches):
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = _ids(text, at)
-                if len(ids):
-                    for m in (0, 1) if target else (0,):
-                        for t, x in ((1, ids), (2, _pairs(ids, core))):
-                            u, c = np.unique(x, return_counts=True)
-                            n[m, t][u] += c
-        for (m, t), x in n.items():
-            u = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), m, np.int32)), pa.array(np.full(len(u), t, np.int32)), pa.array(u), pa.array(x[u])], ["model", "kind", "place", "n"])
-
-    return count
-
-
-def log_tables(words: np.ndarray, pairs: np.ndarray, core: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log P(own class | previous class) flat, log P(word | its class)) from counts."""
-    p = (words + 0.5) / (words.sum() + 0.5 * len(words))
-    own = np.arange(len(words))
-    cls = np.where(own > core, 0, own)
-    one = np.bincount(cls, p, core + 1)
-    grid = pairs.reshape(core + 1, core + 1).astype(float)
-    total, kinds = grid.sum(axis=1, keepdims=True), (grid > 0).sum(axis=1, keepdims=True)
-    two = np.where(total > 0, (grid + kinds * one) / np.maximum(total + kinds, 1), one)
-    with np.errstate(divide="ignore"):
-        return np.log(np.maximum(two, 1e-300)).ravel().astype(np.float32), np.log(p / one[cls]).astype(np.float32)
-
-
-class Models:
-    """What scoring needs: the words, and for background (0) and target (1) both log tables."""
-
-    def __init__(self, words: list[bytes], core: int, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.words, self.core, self.tables = words, core, tables
-
-    def losses(self, text: str | None, at: dict[bytes, int]) -> tuple[int, float, float]:
-        ids = _ids(text, at)
-        if not len(ids):
-            return 0, 0.0, 0.0
-        pairs = _pairs(ids, self.core)
-        back, goal = (-float(two[pairs].sum(dtype=np.float64) + rest[ids].sum(dtype=np.float64)) / len(ids) for two, rest in self.tables)
-        return len(ids), goal, back
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, core: int = CORE) -> Models:
-    """Models from all docs (background) and those whose id is in target_ids (one column)."""
-    spark = docs.sparkSession
-    words = vocabulary(docs, text_col, size)
-    core = min(core, len(words))
-    ids = written(target_ids.toDF("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "target")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(small(ids), "doc_id", "left")
-    shared = spark.sparkContext.broadcast(words)
-    counted = arrow_map(texts.select("text", F.coalesce("target", F.lit(False)).alias("target")), _count_pairs(shared, core), "model int, kind int, place long, n long")
-    sums = counted.groupBy("model", "kind", "place").agg(F.sum("n").alias("n")).toArrow()  # bounded by the tables' sizes
-    model, kind, place, n = (sums.column(c).to_numpy() for c in ("model", "kind", "place", "n"))
-    tables = []
-    for m in (0, 1):
-        counts = [np.zeros(k, np.int64) for k in (len(words) + 1, (core + 1) ** 2)]
-        for t in (1, 2):
-            s = (model == m) & (kind == t)
-            counts[t - 1][place[s]] = n[s]
-        tables.append(log_tables(*counts, core))
-    return Models(words, core, tables)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs.
-
-    Losses are means per word; a null, empty or wordless text has no words and 0 everywhere. Repeated
-    rows are scored each; other columns aren't read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-    def run(batches):
-        own = shared.value
-        at = Words((w, i + 1) for i, w in enumerate(own.words))
-        for batch in pieces(batches):
-            n, goal, back = zip(*(own.losses(t, at) for t in batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
-            g, b = np.array(goal, float), np.array(back, float)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(g), pa.array(b), pa.array(g - b)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, as many as the largest needs: codecs then see runs."""
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-class Hashes(dict):
-    """Words to 64-bit hashes, kept for words seen before."""
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if data:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+
+class Grams:
+    """The distinct bigrams and words of a shard: ``keys`` in order, words with an odd key, bigrams with an even one."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes[sizes > 0]
+        n, self.width = len(tokens), len(words) + 1
+        chain = np.full(n + len(self.sizes) + 1, len(words), np.int64)
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.word_events = np.arange(n) + doc  # event i goes from place i of the chain to the next
+        chain[self.word_events + 1] = tokens
+        self.chain = chain
+        codes, self.at = np.unique(chain[:-1] * self.width + chain[1:], return_inverse=True)
+        self.prev, self.word = codes // self.width, codes % self.width
+        h = np.append(words, _U(_BOUNDARY))
+        two = _mixed(h[self.prev] * _U(0x9E3779B97F4A7C15) + h[self.word]) & _U(2**64 - 2)
+        keys = np.concatenate([two, _mixed(h ^ _U(0xD6E8FEB86659FD93)) | _U(1)]) if n else two
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self, events: np.ndarray | None = None) -> np.ndarray:
+        """How often each key occurs, in all events or in those marked."""
+        at, word = (self.at, self.chain[1:]) if events is None else (self.at[events], self.chain[1:][events])
+        both = np.concatenate([np.bincount(at, minlength=len(self.prev)), np.bincount(word, minlength=self.width)])
+        return both[self.order]
+
+    def split(self, in_order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in the order of the keys as (by bigram, by word)."""
+        out = np.empty(len(in_order))
+        out[self.order] = in_order
+        return out[: len(self.prev)], out[len(self.prev) :]
+
+    def events_of(self, marked: np.ndarray) -> np.ndarray:
+        """The events of the texts (those with words) that are marked."""
+        return np.repeat(marked, self.sizes + 1)
+
+
+def _loaded(words: bytes, tokens: bytes, sizes: list[int]) -> Grams:
+    sizes = np.array(sizes, np.int64)
+    return Grams(np.frombuffer(words, np.uint64), unpacked(tokens, int(sizes.sum())).astype(np.int64), sizes)
 
 
-def _grams(batches):
-    """(doc, target, prev, word, n) for the distinct bigrams of each text; a text starts after 0."""
-    at = Hashes()
+def _sharder(batches):
+    memo, part, made = Hashes(), TaskContext.get().partitionId(), 0
     for batch in pieces(batches):
-        docs, targets, sizes, parts = [], [], [], []
-        for doc, text, target in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "target"))):
-            words = words_of(text)
-            if not words:
-                continue
-            own = np.fromiter(map(at.__getitem__, words), np.uint64, len(words))
-            pairs = np.empty((len(own), 2), np.uint64)
-            pairs[0, 0], pairs[1:, 0], pairs[:, 1] = 0, own[:-1], own
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
-            parts.append((pairs[first], np.diff(np.r_[first, len(pairs)])))
-            docs.append(doc)
-            targets.append(target)
-            sizes.append(len(first))
-            if len(at) > HELD:
-                at.clear()
-        if parts:
-            pairs, n = (np.concatenate(x) for x in zip(*parts))
-            prev, word = (np.ascontiguousarray(pairs[:, k]).view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, sizes), pa.int64()), pa.array(np.repeat(targets, sizes), pa.bool_()), pa.array(prev), pa.array(word), pa.array(n, pa.int64())], ["doc", "target", "prev", "word", "n"])
-
-
-def gathered(grams: DataFrame) -> DataFrame:
-    """(prev, word, goal, back): both losses of every bigram of grams (doc, target, prev, word, n)."""
-    n = grams.groupBy("prev", "word").agg(F.sum("n").alias("n0"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("n1"))
-    n = written(n, "bigrams")
-    words = written(n.groupBy("word").agg(F.sum("n0").alias("w0"), F.sum("n1").alias("w1")), "words")
-    kinds = [F.count(F.when(F.col(f"n{m}") > 0, 1)).alias(f"k{m}") for m in (0, 1)]
-    prevs = written(n.groupBy("prev").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *kinds), "prevs")
-    total = words.agg(F.sum("w0"), F.sum("w1"), F.count("*")).first()
-    both = n.join(small(words), "word").join(small(prevs), "prev")
-
-    def loss(m: int):
-        p = (F.col(f"w{m}") + 0.5) / F.lit((total[m] or 0) + 0.5 * (total[2] + 1))
-        c, k = F.col(f"c{m}"), F.col(f"k{m}")
-        return -F.log(F.when(c > 0, (F.col(f"n{m}") + k * p) / (c + k)).otherwise(p))
-
-    return written(both.select("prev", "word", loss(1).alias("goal"), loss(0).alias("back")), "losses")
-
-
-def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        at: dict[int, int] = {}
+        tokens, sizes = [], []
+        for text in batch.column("text").to_pylist():
+            hashes = list(map(memo.__getitem__, words_of(text)))
+            tokens += [at.setdefault(h, len(at)) for h in hashes]
+            sizes.append(len(hashes))
+        if len(memo) > MEMO:
+            memo.clear()
+        words, tokens, sizes_ = np.fromiter(at, np.uint64, len(at)), np.array(tokens, np.int64), np.array(sizes, np.int64)
+        target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
+        events = sizes_ + (sizes_ > 0)
+        # no more keys than this; how many there are is known when they are sorted
+        most = len(words) + 1 + min(int(events.sum()), (len(words) + 1) ** 2)
+        row = [[(part << 32) + made], [batch.column("doc_id").to_pylist()], [sizes], [target.tobytes()], [words.tobytes()], [packed(tokens)], [most], [int(events.sum())], [int(events[target > 0].sum())]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], [x.split()[0] for x in _SHARD.split(", ")])
+        made += 1
+
+
+def _requests(bits: int):
+    """Packed keys and counts of each shard, by the leading ``bits`` of the key."""
+
+    def send(batches):
+        for batch in batches:
+            for shard, sizes, target, words, tokens in zip(*(batch.column(c).to_pylist() for c in ("shard", "sizes", "target", "words", "tokens"))):
+                grams = _loaded(words, tokens, sizes)
+                if not len(grams.keys):
+                    continue
+                marked = np.frombuffer(target, np.uint8)[np.array(sizes) > 0] > 0
+                n, m = grams.counts(), grams.counts(grams.events_of(marked))
+                bucket = (grams.keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams.keys), np.int64)
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                rows = []
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
+                    base = _U(int(bucket[a]) << (64 - bits)) if bits else _U(0)
+                    rows.append((int(bucket[a]), shard, packed(np.diff(grams.keys[a:b] - base, prepend=_U(0))), b - a, packed(n[a:b]), packed(m[a:b])))
+                columns = list(zip(*rows))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in _REQUEST.split(", ")])
+
+    return send
+
+
+def _answers(rows: pa.Table) -> pa.Table:
+    """Sums over a bucket's keys, dealt back to the shards that asked; kinds: distinct words, in the first row."""
+    bucket, shard, keys, size, n, m = (rows.column(c).to_pylist() for c in ("bucket", "shard", "keys", "size", "n", "m"))
+    # differences suffice: all keys of a bucket have one base
+    own = np.concatenate([np.cumsum(unpacked(k, s), dtype=np.uint64) for k, s in zip(keys, size)])
+    kinds, at = np.unique(own, return_inverse=True)
+    sums = []
+    for counts in (n, m):
+        every = np.concatenate([unpacked(c, s) for c, s in zip(counts, size)])
+        sums.append(np.bincount(at, every.astype(float), len(kinds)).astype(np.uint64)[at])
+    ends = np.cumsum(size)
+    parts = [[packed(x[e - s : e]) for s, e in zip(size, ends.tolist())] for x in sums]
+    words = [int((kinds & _U(1)).sum())] + [0] * (len(size) - 1)
+    columns = [pa.array(shard, pa.int64()), pa.array(bucket, pa.int64()), pa.array(size, pa.int32()), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary()), pa.array(words, pa.int64())]
+    return pa.Table.from_arrays(columns, [x.split()[0] for x in _ANSWER.split(", ")])
+
+
+def _losses(events: tuple[int, int], kinds: int):
+    """Scores of a shard's texts from its answers; events: of background and target, kinds: words in all."""
+
+    def score(shard: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = shard.to_pylist()
+        if not rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.float64()] * 3)], [x.split()[0] for x in _LOSS.split(", ")])
+        (row,) = rows
+        sizes = np.array(row["sizes"], np.int64)
+        means = np.zeros((2, len(sizes)))
+        if sizes.any():
+            grams = _loaded(row["words"], row["tokens"], row["sizes"])
+            got = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            for k, name in enumerate("nm"):
+                pairs, words = grams.split(np.concatenate([unpacked(a[name], a["size"]) for a in got]))
+                one = (words + 0.5) / (events[k] + 0.5 * kinds)
+                loss = -np.log((pairs + MU * one[grams.word]) / (words[grams.prev] + MU))
+                means[k] = np.bincount(doc, loss[grams.at[grams.word_events]], len(sizes)) / np.maximum(sizes, 1)
+        back, goal = means
+        return pa.table([pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(goal), pa.array(back), pa.array(goal - back)], [x.split()[0] for x in _LOSS.split(", ")])
+
+    return score
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of docs, by models of all docs
-    (background) and those whose id is in target_ids (one column), with all their words and bigrams.
+    (background) and of those whose id is in target_ids (one column, nulls and repeats count for nothing).
 
-    A null, empty or wordless text has no words and 0 everywhere. Repeated rows are scored each; other
-    columns aren't read.
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. A null, empty or wordless text has no words and 0
+    everywhere. Repeated rows are counted and scored each; a row without an id is background only. An empty table
+    gives an empty table. Other columns, whatever their names, aren't read.
     """
     ids = written(target_ids.toDF("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "target")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))  # rows that are equal share their sums, and so their means
-    texts = docs.join(small(ids), "doc_id", "left").select("doc", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    grams = arrow_map(texts, _grams, "doc long, target boolean, prev long, word long, n long")
-    losses = gathered(grams).hint("merge")
-    n = F.sum("n")
-    sums = grams.drop("target").join(losses, ["prev", "word"]).groupBy("doc").agg((F.sum(F.col("n") * F.col("goal")) / n).alias("goal"), (F.sum(F.col("n") * F.col("back")) / n).alias("back"))
-    rows = docs.select("doc", "doc_id", word_count(F.col("text")).alias("n_tokens")).join(sums.hint("merge"), "doc", "left")
-    goal, back = (F.coalesce(c, F.lit(0.0)) for c in ("goal", "back"))
-    return rows.select("doc_id", "n_tokens", goal.alias("target_loss"), back.alias("background_loss"), (goal - back).alias("score"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(small(ids), "doc_id", "left")
+    shards = written(arrow_map(texts.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), _sharder, _SHARD), "shards")
+    total = shards.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "n_events", "n_target"))).first()
+    bits = max(0, int(total[0] - 1) // bucket_keys).bit_length()
+    asked = arrow_map(shards.select("shard", "sizes", "target", "words", "tokens"), _requests(bits), _REQUEST)
+    answers = written(asked.groupBy("bucket").applyInArrow(_answers, _ANSWER), "answers")
+    kinds = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    both = shards.select("shard", "docs", "sizes", "words", "tokens").groupBy("shard").cogroup(answers.select("shard", "bucket", "size", "n", "m").groupBy("shard"))
+    return both.applyInArrow(_losses((total[1], total[2]), kinds), _LOSS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_all(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    return cross_entropy_difference(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))

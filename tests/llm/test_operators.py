@@ -344,73 +344,67 @@ def test_toxicity_query(spark, docs):
     assert toxicity.scored(docs, toxicity.train(["a b", "bad"], [0, 1])).count() == len(DOCS)
 
 
-def test_lm_vocabulary(spark):
-    """The histogram's cut gives what a whole sort gives."""
-    rng = np.random.default_rng(4)
-    texts = [" ".join(f"w{i}" for i in rng.zipf(1.2, 200) % 3000) for _ in range(100)] + [None, ""]
-    counts = {}
-    for t in texts:
-        for w in lm.words_of(t):
-            counts[w] = counts.get(w, 0) + 1
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    for size in (1, 3, 50, 700, 10_000):
-        assert lm.vocabulary(df, size=size) == sorted(counts, key=lambda w: (-counts[w], w))[:size]
-    assert lm.vocabulary(df.limit(0)) == []
-
-
-def test_lm(spark, docs):
-    """Scores against a plain computation of the same model."""
-    models = lm.fit(docs, spark.createDataFrame([(1,), (10,)], "doc_id long"), size=6, core=3)
-    texts, target = [t for _, t, _ in DOCS], [i in (1, 10) for i, _, _ in DOCS]
-    counts = {}
-    for t in texts:
-        for w in lm.words_of(t):
-            counts[w] = counts.get(w, 0) + 1
-    vocab = sorted(counts, key=lambda w: (-counts[w], w))[:6]
-    assert models.words == vocab
-    at = {w: i + 1 for i, w in enumerate(vocab)}
-    cls = lambda i: i if i <= 3 else 0
-
-    def losses(chosen):
-        uni, bi = [0.5] * 7, {}
+def plain_losses(rows, marked):
+    """(n, goal, back, score) of each text by plain counting: every word and bigram, a boundary around each text."""
+    texts = [[b"<s>", *lm.words_of(t), b"<s>"] if lm.words_of(t) else [] for t in rows]
+    models = []
+    for chosen in (texts, [t for t, m in zip(texts, marked) if m]):
+        one, two = {}, {}
         for t in chosen:
-            ids = [at.get(w, 0) for w in lm.words_of(t)]
-            for p, i in zip([0, *map(cls, ids[:-1])], ids):
-                uni[i] += 1
-                bi[p, cls(i)] = bi.get((p, cls(i)), 0) + 1
-        total = sum(uni)
-        one = [sum(uni[i] for i in range(7) if cls(i) == c) / total for c in range(4)]
-        def p(prev, i):
-            n, k = sum(v for (a, _), v in bi.items() if a == prev), sum(a == prev for a, _ in bi)
-            c = cls(i)
-            return (((bi.get((prev, c), 0) + k * one[c]) / (n + k)) if n else one[c]) * uni[i] / total / one[c]
-        def loss(t):
-            ids = [at.get(w, 0) for w in lm.words_of(t)]
-            return -sum(math.log(p(a, i)) for a, i in zip([0, *map(cls, ids[:-1])], ids)) / len(ids) if ids else 0.0
-        return loss
-
-    goal, back = losses([t for t, y in zip(texts, target) if y]), losses(texts)
-    for r, t in zip(sorted(lm.score(docs, models).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)), [t for _, t, _ in sorted(DOCS, key=lambda d: (d[0] is None, d[0] or 0))]):
-        assert math.isclose(r.target_loss, goal(t), abs_tol=1e-4) and math.isclose(r.background_loss, back(t), abs_tol=1e-4) and math.isclose(r.score, goal(t) - back(t), abs_tol=2e-4)
-
-
-def test_lm_gathers_all(spark, docs, tmp_path):
-    """The query's scores are those of a model in which every word has its own bigrams."""
+            for p, w in zip(t, t[1:]):
+                one[w], two[p, w] = one.get(w, 0) + 1, two.get((p, w), 0) + 1
+        models.append((one, two, sum(one.values())))
+    kinds = len(models[0][0])
+
+    def loss(model, t):
+        one, two, total = model
+        p = lambda a, w: (two.get((a, w), 0) + lm.MU * (one.get(w, 0) + 0.5) / (total + 0.5 * kinds)) / (one.get(a, 0) + lm.MU)
+        return -sum(math.log(p(a, w)) for a, w in zip(t, t[1:-1])) / (len(t) - 2) if t else 0.0
+
+    out = [(max(0, len(t) - 2), loss(models[1], t), loss(models[0], t)) for t in texts]
+    return [(n, g, b, g - b) for n, g, b in out]
+
+
+def close(got, want):
+    return len(got) == len(want) and all(x[0] == y[0] and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(x[1:], y[1:])) for x, y in zip(got, want))
+
+
+def test_lm(spark, docs, tmp_path):
+    """Scores against a plain computation of the same models, in one bucket and in many."""
     rng = np.random.default_rng(7)
-    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.1, 400) % 1400)) for i in range(40)] + [(40, None), (41, " "), (3, "w1 w2"), (3, "w1 w2"), (None, "w2 w1 w1")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    want = lm.score(table, lm.fit(table, spark.createDataFrame([(i,) for i in range(1, 30, 2)], "doc_id long"), size=10_000, core=10_000))
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
-    got = sorted(lm.query(spark, str(tmp_path)).collect(), key=key)
-    want = sorted(want.collect(), key=key)
-    assert len(set(" ".join(t or "" for _, t in rows).split())) > 1_024 and len(got) == len(rows)
-    for g, w in zip(got, want):
-        assert g[:2] == w[:2] and all(math.isclose(x, y, abs_tol=1e-4) for x, y in zip(g[2:], w[2:]))
-    none = lm.score_all(docs, docs.select("doc_id").limit(0)).collect()
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.1, 400) % 1400)) for i in range(40)] + [(40, None), (41, " "), (3, "w1 w2"), (3, "w1 w2"), (None, "w2 w1 w1"), (42, "x " * 30_000)]
+    table = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, target string, shard long").repartition(7)
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    goal = spark.createDataFrame([(i,) for i in (*range(1, 30, 2), 1, 42, 3, None)], "doc_id long")
+    marked = [i in {*range(1, 30, 2), 42, 3} for i, _ in rows]
+    want = sorted((str(i), *x) for (i, _), x in zip(rows, plain_losses([t for _, t in rows], marked)))
+    for keys in (1_000_000, 500):
+        got = sorted((str(r.doc_id), *r[1:]) for r in lm.cross_entropy_difference(table, goal, bucket_keys=keys).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want] and close([x[1:] for x in got], [x[1:] for x in want])
+    none = lm.cross_entropy_difference(docs, docs.select("doc_id").limit(0)).collect()
     assert len(none) == len(DOCS) and all(r.n_tokens == len(words(dict((i, t) for i, t, _ in DOCS)[r.doc_id])) for r in none)
-    assert lm.score_all(docs.limit(0), docs.select("doc_id")).collect() == []
+    assert lm.cross_entropy_difference(docs.limit(0), docs.select("doc_id")).collect() == []
+
+
+def test_lm_query(spark):
+    """The query on its whole tables against plain counting."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    want = {r.doc_id: x for r, x in zip(table, plain_losses([r.text for r in table], [r.doc_id in good for r in table]))}
+    got = {r.doc_id: tuple(r[1:]) for r in lm.query(spark, SF).collect()}
+    assert got.keys() == want.keys() and close([got[i] for i in sorted(got)], [want[i] for i in sorted(want)])
+
+
+def test_scratch_is_removed(spark, docs):
+    import os
+
+    from streamloom.llm import common
+
+    root = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with common.scope():
+        assert lm.cross_entropy_difference(docs, docs.select("doc_id").limit(1)).count() == len(DOCS)
+    assert set(os.listdir(root)) == before
 
 
 def test_pipeline_clashes(spark):
