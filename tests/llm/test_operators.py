@@ -219,9 +219,44 @@ def test_small_reads_sizes(spark):
 
 
 def test_vectors_tiles(spark, monkeypatch):
-    before = [tuple(r) for r in vectors.query(spark, SF).orderBy("vec_id").collect()]
-    monkeypatch.setattr(vectors, "TILE", 40)
-    assert [tuple(r) for r in vectors.query(spark, SF).orderBy("vec_id").collect()] == before
+    """The query against brute force on its whole table; small tiles change nothing."""
+    table = pq.read_table(f"{SF}/embeddings.parquet").to_pandas()
+    x = np.array(table.embedding.tolist(), float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    before = {r.vec_id: tuple(r) for r in vectors.query(spark, SF).collect()}
+    assert {i: r[1] for i, r in before.items()} == dict(zip(table.vec_id.tolist(), (near.sum(axis=1) - 1).tolist()))
+    monkeypatch.setattr(vectors, "TILE", 64 * 40)
+    assert {r.vec_id: tuple(r) for r in vectors.query(spark, SF).collect()} == before
+
+
+def test_vectors_edges(spark):
+    """Null and repeated ids, repeated rows, clashing names, no rows."""
+    rows = [(None, [1.0, 0.0], 1, 1), (None, [1.0, 0.0], 1, 1), (5, [1.0, 0.01], 2, 2), (5, [1.0, 0.01], 2, 2), (5, [0.0, 1.0], 3, 3), (7, [0.01, 1.0], 3, 3), (8, [1.0], 0, 0), (9, [-1.0], 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long, dim long")
+    got = sorted(vectors.near_vectors(df).collect(), key=lambda r: (r.vec_id is None, r.vec_id or 0, r.n_links))
+    want = [(5, 1, 5, True)] * 3 + [(7, 1, 5, False), (8, 0, 8, True), (9, 0, 9, True)] + [(None, 0, None, True)] * 2
+    assert [tuple(r) for r in got] == want, got
+    assert vectors.near_vectors(df.limit(0)).collect() == []
+
+
+def test_vectors_prune(spark):
+    """On vectors without clusters few pairs are left for block distances, and no close pair is lost."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x[3900:] = x[:100] + rng.normal(size=(100, 64)).astype(np.float32) * rng.uniform(0.1, 0.36, (100, 1)).astype(np.float32)
+    u = vectors.unit(x.astype(float))
+    close = {(i, j) for i, j in np.argwhere(np.triu(u @ u.T >= 0.95, 1)).tolist()}
+    space = vectors.Space(64, 0.95, 3, vectors.axes_of(x[:1000].tolist())[64])
+    y, seen, tested = space.coordinates(x), set(), 0
+    assert sum(len(rows) for _, _, rows, _ in space.stays(y)) < 4 * len(x)
+    for b in range(3):
+        for p, q in vectors.candidates(y[:, space.part(b)], space.limit[b]):
+            tested += len(p)
+            diff = y[p, space.part(b)].astype(np.int64) - y[q, space.part(b)]
+            fits = (diff * diff).sum(axis=1) <= space.limit[b]
+            seen |= set(zip(np.minimum(p, q)[fits].tolist(), np.maximum(p, q)[fits].tolist()))
+    assert 20 < len(close) and close <= seen and tested < 0.1 * len(x) ** 2 / 2
 
 
 PAGE = "<html><head><title>t</title></head><body><div class=nav>menu</div><div class='wrap'><div class='text'><h1>{0}</h1><p>{0} &amp; body<p>second <b>{0}</b>  line</div><div class='box'>read our terms</div></div><div id=comments><p>me too {0}</div></body></html>"
