@@ -286,6 +286,52 @@ def test_wrapper_drops_by_text(spark):
     assert all(got[i] == f"x{i}\nown text {i}" for i in range(19)) and got[19] == "other\nx19\nown text 19"
 
 
+def texts_of(spark, pages, host="http://h.example/"):
+    rows = [(i, host, p, "clash", 1) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, host string, size int")).collect()}
+
+
+def test_wrapper_decides(spark):
+    """Neutral tags and names: only the wrapper tells template from content, and links from text."""
+    page = "<body><div class=a>Welcome to us</div><div class=b><a href=/{0}>to {0}</a> <a href=/x{0}>also {0}</a></div><div class=c><h1>title {0}</h1><p>{1}</p><div class=e>Read our terms</div></div><div class=d>All rights</div></body>"
+    pages = [page.format(i, f"word{i} " * 30) for i in range(6)]
+    want = {i: f"title {i}\n" + " ".join([f"word{i}"] * 30) for i in range(6)}
+    got = texts_of(spark, pages)
+    assert got == want and all(wrapper.main_text(p, None, [], []) != want[i] for i, p in enumerate(pages))
+
+
+def test_wrapper_overrules_names(spark):
+    """Most of the host's text is in an element whose name says that it isn't content."""
+    page = "<body><div class=top>Site</div><div class='widget main'><h1>title{0}</h1><p>{1}</div><div class=comments>nice {0}</div></body>"
+    pages = [page.format(i, f"word{i} " * 40) for i in range(5)]
+    got = texts_of(spark, pages)
+    assert got == {i: f"title{i}\n" + " ".join([f"word{i}"] * 40) for i in range(5)}
+    assert wrapper.main_text(pages[0], None, [], []) == "Site"
+
+
+def test_wrapper_reference(spark):
+    """Empty pages and those of another layout aren't the reference; copies of it are no evidence of a template."""
+    page = "<body><div class=top>Site</div><div class=c><div class=x>{0} one</div><section>{0} two</section></div></body>"
+    got = texts_of(spark, [None, "<p>odd", *(page.format(f"word{i} " * 9) for i in range(5))])
+    assert got[0] == "" and got[1] == "odd" and got[4] == " ".join(["word2"] * 9) + " one\n" + " ".join(["word2"] * 9) + " two"
+    same = "<body><article><div>{0}</div><p>{1}</article></body>"
+    got = texts_of(spark, [same.format("long text " * 30, f"v{i}") for i in range(2)])
+    assert got[1] == " ".join(["long text"] * 30) + "\nv1"
+
+
+def test_wrapper_tables_and_time(spark):
+    assert wrapper.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    import time
+
+    began = time.time()
+    for bad in ("<" + "x" * 10**6, "<a " * 300_000, "<a '" * 200_000 + ">", '<a ">" ' * 60_000, "<!--" * 200_000, "<script>x" * 100_000, "<p title='" + "x>" * 300_000):
+        wrapper.main_text(bad, ["#"], [], [])
+        wrapper.skeleton(bad)
+        warc.plain_text(bad)
+    assert time.time() - began < 60
+    assert wrapper.main_text("a<p title='x>y'>b</p><!-- c", None, [], []) == "a\nb"
+
+
 def test_simple_tree_matching():
     a, b = ("r", (("x", ()), ("y", (("z", ()),)), ("w", ()))), ("r", (("y", (("z", ()), ("q", ()))), ("w", ())))
     n, pairs = wrapper.match(a, b)
@@ -308,7 +354,8 @@ def test_warc_round_trip(spark):
     assert [r.warc_type for r in rows] == ["conversion", "metadata"] * 2
     back = list(warc.parse(b"".join(bytes(r.record) for r in rows)))
     assert back[0][1].decode() == "a & b\né\nc" and all(h["warc-refers-to"] == r.refers_to and h["warc-block-digest"] == warc.sha1(b) for (h, b), r in zip(back, rows))
-    assert f"source-payload-digest: {warc.sha1(page.encode())}" in back[1][1].decode() and headers["warc-record-id"] in back[1][1].decode()
+    meta = back[1][1].decode()
+    assert f"source-warc-payload-digest: {warc.sha1(page.encode())}" in meta and f"source-warc-record-id: {headers['warc-record-id']}" in meta
 
 
 def test_warc_codings():
@@ -318,12 +365,76 @@ def test_warc_codings():
     page = "<p>één</p><p>two</p>".encode()
     packed = gzip.compress(page)
     chunks = b"5;x=1\r\n" + packed[:5] + b"\r\n" + f"{len(packed) - 5:X}\r\n".encode() + packed[5:] + b"\r\n0\r\n\r\n"
-    text = lambda head, body: warc.derivatives({"warc-record-id": "<x>"}, b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)[1][1].decode()
+    text = lambda head, body: warc.derivatives(warc.Headers([("WARC-Record-ID", "<x>")]), b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)[1][1].decode()
     assert text(b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks) == "één\ntwo"
     assert text(b"Content-Encoding: deflate", zlib.compress(page)) == text(b"Content-Encoding: deflate", zlib.compress(page)[2:-4]) == "één\ntwo"
     assert text(b"Content-Encoding: gzip", page) == text(b"Transfer-Encoding: chunked", page) == "één\ntwo"
 
 
+def test_warc_sources(spark, tmp_path):
+    """Source headers stay as declared; what isn't text has no text; malformed streams have a defined result."""
+    import gzip
+
+    def record(kind, block, *more):
+        return warc.record_bytes([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{len(block)}>"), *more], block)
+
+    image = record("response", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG\x00<p>", ("WARC-Payload-Digest", "md5:abc"), ("WARC-IP-Address", "10.0.0.1"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>"))
+    plain = record("response", b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n1 <p> 2\r\n\r\nWARC/1.1 nested")
+    info = record("warcinfo", b"x: y")
+    cut = info + plain[:-30]
+    streams = [(1, image), (2, info + plain), (3, cut), (4, b"junk"), (5, b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"), (6, None), (7, b""), (8, gzip.compress(plain)[:-9]), (None, gzip.compress(plain))]
+    df = spark.createDataFrame([(*r, "clash") for r in streams], "key long, data binary, record string")
+    rows = warc.derive(df, "key", "data").collect()
+    kinds = {k: sorted(r.warc_type for r in rows if r.key == k) for k, _ in streams}
+    assert kinds == {1: ["metadata"], 2: ["conversion", "metadata"], 3: ["malformed"], 4: ["malformed"], 5: ["malformed"], 6: [], 7: [], 8: ["malformed"], None: ["conversion", "metadata"]}
+    meta = {r.key: bytes(r.record).decode() for r in rows if r.warc_type == "metadata"}
+    assert all(x in meta[1] for x in ("source-warc-payload-digest: md5:abc", "source-warc-ip-address: 10.0.0.1", "source-warc-concurrent-to: <a>", "source-warc-concurrent-to: <b>", "source-http-content-type: image/png"))
+    assert meta[2].count("source-http-set-cookie") == 2 and all(r.error for r in rows if r.warc_type == "malformed")
+    assert next(bytes(r.record) for r in rows if r.key == 2 and r.warc_type == "conversion").endswith(b"1 <p> 2\r\n\r\nWARC/1.1 nested\r\n\r\n")
+    assert warc.derive(df.limit(0), "key", "data").collect() == []
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc.gz").write_bytes(b"".join(map(gzip.compress, (info, image, plain, image))))
+    (tmp_path / "w/b.warc").write_bytes(info + plain + image + info)
+    read = warc.read_warc(spark, f"{tmp_path}/w").collect()
+    assert len(read) == 8 and sorted(x for r in read for x in (h["warc-type"] for h, _ in warc.parse(bytes(r.content)))) == ["response"] * 5 + ["warcinfo"] * 3
+    assert sorted(len(b) for r in read for _, b in warc.parse(bytes(r.content))) == sorted(len(b) for f in (info, image, plain, image, info, plain, image, info) for _, b in warc.parse(f))
+
+
+def test_warc_query(spark):
+    """The query against a reader of markup of the standard library, on its whole table."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            self.out.append("\n" if tag in warc.BREAKS else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+            self.out.append("\n" if tag in warc.BREAKS else "")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data.replace("\n", " "))
+
+    rows = {(r.page_id, r.warc_type): r for r in warc.query(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(rows) == 2 * len(pages)
+    for p in pages:
+        reader = Reader()
+        reader.feed(p.html or "")
+        reader.close()
+        text = "\n".join(x for x in (" ".join(y.split()) for y in "".join(reader.out).split("\n")) if x)
+        own, meta = rows[p.page_id, "conversion"], rows[p.page_id, "metadata"]
+        assert own.block_digest == warc.sha1(text.encode()) and own.content_length == len(text.encode()) and own.refers_to == meta.refers_to and own.target_uri == (p.url or "")
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len((p.html or '').encode())}\r\n\r\n".encode() + (p.html or "").encode()
+        assert own.source_digest == meta.source_digest == warc.sha1(block)
+
+
 def test_toxicity_learns_and_tolerates():
     rng = np.random.default_rng(2)
     syllables = "ba ko ri tu me sa lo ni pe du".split()
