@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return house + "/_scratch"
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
+def new_path(spark: SparkSession, tag: str, kept: bool = False) -> str:
     """A path in the shared folder for a table that is removed when the scope around the call ends (``scope``), and
     in any case when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/streamloom-{tag}-{uuid.uuid4().hex}"
-    if _scopes:
+    if _scopes and not kept:
         _scopes[-1].append((spark, path))
     return path
 
@@ -62,15 +63,14 @@ def scope():
             remove(spark, path)
 
 
-def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, kept: bool = False) -> DataFrame:
     """The rows of df written as Parquet in the shared folder and read again: lineage ends here, and
-    a lost executor costs no recomputation. A ``path`` of one's own is not removed."""
+    a lost executor costs no recomputation. What is ``kept`` outlives the scope."""
     spark = df.sparkSession
-    own = path or new_path(spark, tag)
+    own = new_path(spark, tag, kept)
     df.write.parquet(own)
-    if path is None:
-        system, target = _filesystem(spark, own)
-        system.deleteOnExit(target)
+    system, target = _filesystem(spark, own)
+    system.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(own)
     out._scratch = own
     return out
@@ -96,6 +96,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a number for each row as column ``name`` (one that df lacks): its file's place among the files in order of
+    their paths, and its place in the file. So the numbers don't depend on how the scan is cut into tasks. What isn't a
+    plain scan of Parquet files, or is one of more than ``rows`` files, is written and numbered as written."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        own = df.select(meta["file_path"].alias("path"), meta["row_index"].alias("at"))
+        paths = sorted(r[0] for r in own.select("path").distinct().limit(rows + 1).collect())
+    except AnalysisException:
+        paths = None
+    if paths is None or len(paths) > rows:
+        out = written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+        return out
+    path, place = free(df, "path_of_row"), free(df, "place_of_path")
+    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"`{path}` string, `{place}` long")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    df = df.withColumn(path, meta["file_path"]).withColumn(name, meta["row_index"])
+    return df.join(F.broadcast(files), path).select(*columns, (F.shiftleft(F.col(place), 36) + F.col(name)).alias(name))
+
+
 def _trim() -> None:
     """Give freed memory back, as a worker that waits for its next task would else keep it."""
     import ctypes

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pieces, small, words_of, written
 from .components import connected_components
 
-#: 32 bands of 5 slots: a pair at similarity 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
+#: 32 bands of 5 slots: a pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6; what else is
+#: filtered before verification adds 1e-9 to that (``_alike``).
 BANDS, ROWS = 32, 5
 #: Distinct words whose hash a worker keeps.
 MEMO = 250_000
@@ -109,9 +110,9 @@ def sketch(signature: np.ndarray) -> np.ndarray:
 
 def _alike(percent: int, m: int) -> "F.Column":
     """Whether sizes na, nb and sketches allow the similarity. Sizes bound it; of the sketches' slots a
-    pair at the threshold differs in more than this many once in some 300,000 pairs."""
+    pair at the threshold differs in more than this many, six deviations, once in some 10**9 pairs."""
     q = (1 - percent / 100) * 15 / 16
-    most = int(m * q + 4.5 * (m * q * (1 - q)) ** 0.5) + 1
+    most = int(m * q + 6 * (m * q * (1 - q)) ** 0.5) + 1
     differ = F.lit(0)
     for i in range(m // 16):
         x = F.col("sketcha")[i].bitwiseXOR(F.col("sketchb")[i])
@@ -154,8 +155,9 @@ def _setter(size: int):
         memo = WordHash()
         for batch in pieces(batches):
             own = [shingles(words_of(text), size, memo) for text in batch.column("text").to_pylist()]
-            halves = [s.astype(np.uint32).view(np.int32) for s in own]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(halves, pa.list_(pa.int32()))], ["rep", "n", "elements"])
+            halves = [np.unique(s.astype(np.uint32)).view(np.int32) for s in own]
+            sizes, lost = [len(s) for s in own], [len(s) - len(h) for s, h in zip(own, halves)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array(halves, pa.list_(pa.int32()))], ["rep", "n", "lost", "elements"])
 
     return sets
 
@@ -221,11 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.join(split.where("parts > 1").select("key", "major").hint("merge"), "key")
     open_ = written(open_.join(facts.hint("merge"), "rep"), "open")
     sets = docs.join(small(written(open_.select(F.col("rep").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi")
-    open_ = open_.join(arrow_map(sets, _setter(size), "rep long, n long, elements array<int>").hint("merge"), ["rep", "n"])
-    mine, other = (written(open_.where(w), "open").select("key", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "comp", "n", "sketch", "bands", "elements"))) for x, w in (("a", "true"), ("b", "comp <> major")))
+    open_ = open_.join(arrow_map(sets, _setter(size), "rep long, n long, lost long, elements array<int>").hint("merge"), ["rep", "n"])
+    mine, other = (written(open_.where(w), "open").select("key", *(F.col(c).alias(f"{c}{x}") for c in ("rep", "comp", "n", "sketch", "bands", "lost", "elements"))) for x, w in (("a", "true"), ("b", "comp <> major")))
     common = F.filter(F.zip_with("bandsa", "bandsb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    # half hashes show, but for a few that coincide, what two sets share; the join returns likely links only
-    shared = F.size(F.array_intersect("elementsa", "elementsb")) + 2
+    # half hashes show what two sets share, but for those that coincide within a set, which are counted: no link is lost
+    shared = F.size(F.array_intersect("elementsa", "elementsb")) + F.least("losta", "lostb")
     enough = 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)
     rest = mine.join(other.hint("merge"), (mine.key == other.key) & (F.col("compa") != F.col("compb")) & alike & (common[0] == mine.key) & enough)
     rest = rest.select(F.greatest("repa", "repb").alias("a"), F.least("repa", "repb").alias("b")).distinct()

@@ -72,6 +72,26 @@ def test_minhash_group_below_threshold(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, size=2).collect()} == comp
 
 
+def test_minhash_recall(spark):
+    """All of 400 pairs that are exactly at the threshold are found."""
+    rows = []
+    for i in range(400):
+        shared = [f"a{i}x{k}" for k in range(41)]  # 40 shingles of 2 words, and 5 more on either side: 40 of 50
+        rows += [(2 * i, " ".join([f"l{i}x{k}" for k in range(5)] + shared)), (2 * i + 1, " ".join(shared + [f"r{i}x{k}" for k in range(5)]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == 800
+
+
+def test_minhash_halves_that_coincide():
+    """The bound on shared elements holds when 32-bit halves coincide."""
+    base = np.arange(1, 400, dtype=np.uint64)
+    a = np.unique(np.concatenate([base, base[:150] + np.uint64(2**40)]))
+    b = np.unique(np.concatenate([base, base[100:300] + np.uint64(2**41), base[:50] + np.uint64(2**40)]))
+    half = lambda s: np.unique(s.astype(np.uint32))
+    shared = len(np.intersect1d(half(a), half(b))) + min(len(a) - len(half(a)), len(b) - len(half(b)))
+    assert shared >= len(np.intersect1d(a, b)) > len(np.intersect1d(half(a), half(b)))
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(1)
     err = []
@@ -97,15 +117,31 @@ def test_exact_and_index(spark, docs, tmp_path):
     by = {r.doc_id: r for r in rows}
     assert by[3].keep_id == by[4].keep_id == 4 and by[3].group_size == 2 and not by[3].kept and by[3].text_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[None].keep_id == 1 and not by[None].kept and by[7].group_size == 2 and by[5].kept and by[6].kept
+    texts = {hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in DOCS}
+    assert sorted(r.text_sha256 for r in rows if r.kept) == sorted(texts)  # exactly one row of a text
+    assert exact.exact_duplicates(docs.limit(0)).collect() == []
     index = exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)
     first = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, text string")
     second = spark.createDataFrame([(3, "x"), (4, "y")], "doc_id long, text string")
     assert {r.doc_id: r.keep_id for r in exact.exact_duplicates(first, index=index).collect()} == {1: 2, 2: 2}
     assert {r.doc_id: r.keep_id for r in exact.exact_duplicates(second, index=index).collect()} == {3: 2, 4: 4}
     index.close()
-    again = exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)
-    assert again.entries().count() == 2
+    again = exact.DigestIndex(spark, f"file://{tmp_path}/index")
+    assert again.buckets == 4 and again.entries().count() == 2
+    assert {r.doc_id: r.kept for r in exact.exact_duplicates(first, index=again).collect()} == {1: False, 2: True}  # as before
+    assert {r.doc_id: r.kept for r in exact.exact_duplicates(second, index=again).collect()} == {3: False, 4: True}
+    again.MANY = 1
+    assert {r.doc_id: r.kept for r in exact.exact_duplicates(spark.createDataFrame([(i, f"t{i % 30}") for i in range(60)], "doc_id long, text string"), index=again).collect()} == {i: i >= 30 for i in range(60)}
+    assert again.generation == 1 and again.entries().count() == 32 and again.buckets == 4
     again.close()
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, f"file://{tmp_path}/index", 5)
+    last = exact.DigestIndex(spark, f"file://{tmp_path}/index")
+    assert last.generation == 1 and {r.doc_id: r.keep_id for r in exact.exact_duplicates(second, index=last).collect()} == {3: 2, 4: 4}
+    last.close()
+    tail = "/x" * 50
+    names = [exact.DigestIndex(spark, f"file://{tmp_path}/{p}{tail}", 2) for p in "ab"]
+    assert names[0].name != names[1].name
 
 
 def test_mixing(spark, docs):
@@ -136,6 +172,52 @@ def test_mixing(spark, docs):
 
 
 
+def test_mixing_rates(spark):
+    """Multipliers against bisection of each source's own equation."""
+    rng = np.random.default_rng(11)
+    sizes = {s: rng.integers(1, 400, 120) for s in "abcd"} | {"e": np.array([5, 50_000])}
+    rows = [(k, s, int(n)) for k, (s, n) in enumerate((s, n) for s, v in sizes.items() for n in v)]
+    plan = mixing.mixing_plan(spark.createDataFrame(rows, "row long, src string, size long")).collect()
+    solved = 0
+    for r in plan:
+        if r.t is None:
+            continue
+        v = sizes[r.src].astype(float)
+        got = lambda t: (v * np.minimum(3.0, np.exp(np.minimum(t * v / v.mean(), 5.0)))).sum()
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if got((lo + hi) / 2) < r.target else (lo, (lo + hi) / 2)
+        assert math.isclose(got(r.t), r.target, rel_tol=1e-8) and math.isclose(r.t, lo, rel_tol=1e-5, abs_tol=1e-7)
+        solved += 1
+    assert solved >= 3
+
+
+def test_mixing_without_ids(spark):
+    """Rows that share an id, or have none, are documents of their own."""
+    rows = [(None, "w " * 10, "a") for _ in range(50)] + [(1, "w " * 10, "b") for _ in range(50)] + [(2, "w " * 10, None)] * 10
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = {}, {}
+    for r in got:
+        k = (r.doc_id, r.source_size)
+        taken[k], target[k] = taken.get(k, 0) + r.taken, r.target
+    assert len(got) == len(rows) and all(target[k] - 10 < taken[k] <= target[k] for k in taken)
+    assert math.isclose(sum(target.values()), 1100)
+
+
+def test_numbers_of_rows(spark, tmp_path):
+    from streamloom.llm import common
+
+    spark.range(5000).selectExpr("id as doc_id", "id % 3 as _metadata", "cast(id as string) as path").repartition(3).write.parquet(f"{tmp_path}/t")
+    for cut in (1000, 10_000_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        df = spark.read.parquet(f"{tmp_path}/t")
+        own = {r.n: r.doc_id for r in common.numbered(df.where("doc_id % 2 = 0"), "n").collect()}
+        assert len(own) == 2500 and (cut == 1000 or own == seen)
+        seen = own
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert common.numbered(spark.range(7), "n").select("n").distinct().count() == 7 and common.numbered(df.limit(0), "n").count() == 0
+
+
 def test_mixing_fills_the_gap(spark):
     """However long the document that the order stops at, no document is left that fits."""
     sizes = [40_000, 20_000, 10_000] + [1 + i % 7 for i in range(400)]
@@ -568,6 +650,20 @@ def test_pipeline_clashes(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(DOCS)
 
 
+def test_pipeline_rows(spark, tmp_path):
+    """Stages drop rows, not ids: of repeated rows one stays, and no text is lost for an id that it shares."""
+    import corpus_pipeline
+
+    a, b, x = ("one two three four five six", "seven eight nine ten eleven twelve", "thirteen fourteen")
+    rows = [(1, a), (1, b), (2, a), (7, x), (7, x), (None, "alone"), (None, "alone"), (None, b)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{tmp_path}/d")):
+        got = [tuple(r) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()]
+        assert sorted(got, key=str) == sorted([(1, b), (2, a), (7, x), (None, "alone")], key=str)
+        got = [r.text for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+        assert sorted(got) == sorted([a, b, x, "alone"])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -582,7 +678,7 @@ def test_pipeline(spark):
             assert docs.select("text").distinct().count() == docs.count()
         if name == "near dedup":
             comp, _ = brute_components({r.doc_id: r.text for r in docs.collect()}, 5, 80)
-            assert all(i == c for i, c in comp.items())
+            assert all(i == c for i, c in comp.items()) and len(comp) == docs.count()
     assert seen == sorted(seen, reverse=True) and seen[-1] > 50
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert tokens.count() == docs.count() and json.dumps(tokens.columns)
