@@ -1,139 +1,390 @@
 """Sequential folds: operators whose next state depends on what they decided before.
 
-Rows are dealt by key and sorted within partitions, then read as a stream: a fold holds one key's state
-and one batch, so a stream of any length is no memory hazard.
+Rows are dealt by key, sorted within partitions and read as Arrow batches. A fold sees a batch's rows of one key as
+lists of column values and keeps only that key's state from batch to batch, so a stream of any length is no memory
+hazard. Null keys are one key; nulls sort first.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
-def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, object], list[tuple]], end: Callable[[dict, object], list[tuple]], schema: str) -> DataFrame:
-    """Rows that ``step(state, row)`` returns for each row in order, and ``end(state, key)`` after a key's last."""
-    names = [x.split()[0] for x in schema.split(", ")]
+class State:
+    """What a fold keeps of one key. ``take`` gets lists of consecutive rows' values, ``end`` comes after the last."""
 
-    def run(frames):
-        state, own, some = None, None, False
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                k = getattr(row, key)
-                if not some or k != own:
-                    if some:
-                        out += end(state, own)
-                    state, own, some = start(), k, True
-                out += step(state, row)
-            yield pd.DataFrame(out, columns=names)
-        if some:
-            yield pd.DataFrame(end(state, own), columns=names)
+    def take(self, out: list[tuple], *columns: list) -> None:
+        raise NotImplementedError
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    def end(self, out: list[tuple]) -> None:
+        pass
 
 
-def segments(df: DataFrame, key: str, order: list[str], ts: str, sync: str, target: int) -> DataFrame:
-    """(key, segment, start, stop, n): a segment closes at the first sync row at or past the target."""
+def _bounds(column: pa.Array) -> list[int]:
+    """Where runs of equal values (nulls equal each other) start, and the column's length."""
+    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
 
-    def step(s, r):
-        out = []
-        if s and getattr(r, sync) and getattr(r, ts) - s["start"] >= target:
-            out.append((getattr(r, key), s["i"], s["start"], getattr(r, ts), s["n"]))
-            s.update(i=s["i"] + 1, start=getattr(r, ts), n=0)
-        if not s:
-            s.update(i=0, start=getattr(r, ts), n=0)
-        s["n"] += 1
-        s["last"] = getattr(r, ts)
-        return out
 
-    return fold(df, key, order, dict, step, lambda s, k: [(k, s["i"], s["start"], s["last"], s["n"])] if s else [], f"{key} long, segment long, start long, stop long, n long")
+def fold(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], State], schema: str) -> DataFrame:
+    """(key, what the states give out): ``schema`` has the key's column first; states give the others."""
+    parsed = to_arrow_schema(StructType.fromDDL(schema))
 
+    def batch_of(keys: list, rows: list[tuple]) -> pa.RecordBatch:
+        values = [keys, *(zip(*rows) if rows else [()] * (len(parsed) - 1))]
+        return pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(values, parsed)], schema=parsed)
+
+    def run(batches):
+        state, own = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column(0), [c.to_pylist() for c in batch.columns[1:]]
+            bounds, made, rows = _bounds(keys), [], []
+            for a, b in zip(bounds, bounds[1:]):
+                k = keys[a].as_py()
+                if state is None or k != own:
+                    if state is not None:
+                        state.end(rows)
+                        made += [own] * (len(rows) - len(made))
+                    state, own = start(), k
+                state.take(rows, *(v[a:b] for v in values))
+                made += [own] * (len(rows) - len(made))
+            yield batch_of(made, rows)
+        if state is not None:
+            rows = []
+            state.end(rows)
+            yield batch_of([own] * len(rows), rows)
+
+    dealt = df.repartition(key).sortWithinPartitions(key, *order).select(key, *columns)
+    return dealt.mapInArrow(run, schema)
+
+
+class Segments(State):
+    """Segments that close at the first sync row at or past the target, less ``slack``."""
+
+    def __init__(self, target: int, slack: int):
+        self.target, self.number, self.first, self.last, self.n = target - slack, 0, None, None, 0
+
+    def take(self, out, times, syncs):
+        for t, sync in zip(times, syncs):
+            if self.n and sync and t - self.first >= self.target:
+                self.end(out)
+                self.number, self.n = self.number + 1, 0
+            if not self.n:
+                self.first = self.last = t
+            self.last = max(self.last, t)
+            self.n += 1
+
+    def end(self, out):
+        out.append((self.number, self.first, self.last, self.n))
+
+
+def segments(df: DataFrame, key: str, order: list[str], ts: str, sync: str, target: int, slack: int = 0) -> DataFrame:
+    """(key, segment, start, stop, n)"""
+    return fold(df, key, order, [ts, sync], lambda: Segments(target, slack), f"{key} long, segment long, start long, stop long, n long")
 
-def rate_limit(df: DataFrame, key: str, order: list[str], ts: str, gap: int) -> DataFrame:
-    """Rows at least ``gap`` after the last row let through: (key, seq, ts)."""
 
-    def step(s, r):
-        t = getattr(r, ts)
-        if "at" in s and t - s["at"] < gap:
-            return []
-        s["at"] = t
-        return [(getattr(r, key), r.seq, t)]
-
-    return fold(df, key, order, dict, step, lambda s, k: [], f"{key} long, seq long, {ts} long")
-
-
-def byte_budget(df: DataFrame, key: str, order: list[str], size: str, most: int) -> DataFrame:
-    """(key, seq, held): rows that still fit into the budget; one that doesn't is shed, the next may fit."""
-
-    def step(s, r):
-        n = getattr(r, size)
-        if s.get("held", 0) + n > most:
-            return []
-        s["held"] = s.get("held", 0) + n
-        return [(getattr(r, key), r.seq, s["held"])]
-
-    return fold(df, key, order, dict, step, lambda s, k: [], f"{key} long, seq long, held long")
-
-
-def jitter(df: DataFrame, key: str, order: list[str], seq: str, capacity: int) -> DataFrame:
-    """(key, seq, released, late): a ring of ``capacity`` releases in order, drops what is behind it, and
-    jumps over a gap when it is full; at the end it is drained in order."""
-
-    def release(s, k, jump):
-        out = []
-        while s["held"] and (s["next"] in s["held"] or jump):
-            if s["next"] not in s["held"]:
-                s["next"] = min(s["held"])
-                jump = False
-            s["held"].discard(s["next"])
-            out.append((k, s["next"], s["n"], False))
-            s["n"] += 1
-            s["next"] += 1
-        return out
-
-    def step(s, r):
-        k, x = getattr(r, key), getattr(r, seq)
-        if s["next"] is None:
-            s["next"] = x
-        if x < s["next"] or x in s["held"]:
-            return [(k, x, -1, True)]
-        s["held"].add(x)
-        return release(s, k, len(s["held"]) > capacity)
-
-    def end(s, k):
-        out = []
-        while s["held"]:
-            out += release(s, k, True)
-        return out
-
-    return fold(df, key, order, lambda: {"next": None, "held": set(), "n": 0}, step, end, f"{key} long, seq long, released long, late boolean")
-
-
-def nack_pairs(df: DataFrame, key: str, order: list[str], seq: str) -> DataFrame:
-    """(key, first, mask): missing numbers packed as a first one and a mask of the sixteen after it."""
-
-    def step(s, r):
-        x = getattr(r, seq)
-        if s and 0 < x - s["first"] <= 16:
-            s["mask"] |= 1 << (x - s["first"] - 1)
-            return []
-        out = [(getattr(r, key), s["first"], s["mask"])] if s else []
-        s.update(first=x, mask=0)
-        return out
-
-    return fold(df, key, order, dict, step, lambda s, k: [(k, s["first"], s["mask"])] if s else [], f"{key} long, first long, mask long")
-
-
-def hysteresis(df: DataFrame, key: str, order: list[str], value: str, percent: int) -> DataFrame:
-    """(key, seq, value): values that differ from the last one told by at least percent of it."""
-
-    def step(s, r):
-        v = getattr(r, value)
-        if "v" in s and abs(v - s["v"]) * 100 < percent * s["v"]:
-            return []
-        s["v"] = v
-        return [(getattr(r, key), r.seq, v)]
-
-    return fold(df, key, order, dict, step, lambda s, k: [], f"{key} long, seq long, {value} long")
+class Fragments(State):
+    """Fragments that a video sync row starts, else a row that would carry the fragment past ``limit``, or, without a
+    limit and without video, one at ``span`` or later."""
+
+    def __init__(self, span: int):
+        self.span, self.number, self.first, self.before, self.n = span, 0, None, 0, 0
+
+    def take(self, out, times, lengths, syncs, videos, limits):
+        for t, length, sync, video, limit in zip(times, lengths, syncs, videos, limits):
+            past = t + self.before - self.first > limit if self.n and limit else self.n and not video and t - self.first >= self.span
+            if self.n and (video and sync or past):
+                self.end(out)
+                self.number, self.n = self.number + 1, 0
+            if not self.n:
+                self.first = t
+            self.before, self.n = max(length, 0), self.n + 1
+
+    def end(self, out):
+        out.append((self.number, self.first, self.n))
+
+
+def fragments(df: DataFrame, key: str, order: list[str], columns: list[str], span: int) -> DataFrame:
+    """(key, fragment, start, n) from columns: time, length, sync, video, limit (0: none)."""
+    return fold(df, key, order, columns, lambda: Fragments(span), f"{key} long, fragment long, start long, n long")
+
+
+class RateLimit(State):
+    def __init__(self, gap: int):
+        self.gap, self.at = gap, None
+
+    def take(self, out, seqs, times):
+        for seq, t in zip(seqs, times):
+            if self.at is None or t - self.at >= self.gap:
+                self.at = t
+                out.append((seq, t))
+
+
+def rate_limit(df: DataFrame, key: str, order: list[str], seq: str, ts: str, gap: int) -> DataFrame:
+    """Rows at least ``gap`` after the last row let through: (key, seq, ts)."""
+    return fold(df, key, order, [seq, ts], lambda: RateLimit(gap), f"{key} long, {seq} long, {ts} long")
+
+
+class ByteBudget(State):
+    """A queue that sheds what would bring it over ``most`` bytes; a read takes its head."""
+
+    def __init__(self, most: int):
+        self.most, self.queue, self.held = most, deque(), 0
+
+    def take(self, out, seqs, sizes, reads):
+        for seq, size, read in zip(seqs, sizes, reads):
+            if read:
+                self.held -= self.queue.popleft() if self.queue else 0
+                continue
+            fits = self.held + size <= self.most
+            if fits:
+                self.queue.append(size)
+                self.held += size
+            out.append((seq, not fits, self.held))
+
+
+def byte_budget(df: DataFrame, key: str, order: list[str], seq: str, size: str, read: str, most: int) -> DataFrame:
+    """(key, seq, shed, held) for each message; rows marked ``read`` take the queue's head."""
+    return fold(df, key, order, [seq, size, read], lambda: ByteBudget(most), f"{key} long, {seq} long, shed boolean, held long")
+
+
+class Claims(State):
+    def __init__(self, room: int, size: int):
+        self.room, self.size = room, size
+
+    def take(self, out, seqs, counts, each):
+        for seq, n, b in zip(seqs, counts, each):
+            fits = n <= self.room and n * b <= self.size
+            self.room -= n if fits else 0
+            out.append((seq, fits, self.room))
+
+
+def claims(df: DataFrame, key: str, order: list[str], columns: list[str], room: int, size: int) -> DataFrame:
+    """(key, seq, claimed, room) from columns: seq, count, bytes of each: a claim that doesn't fit reserves nothing."""
+    return fold(df, key, order, columns, lambda: Claims(room, size), f"{key} long, {columns[0]} long, claimed boolean, room long")
+
+
+class Sequence(State):
+    """Loss, lateness and restarts of a modular counter: a step below half its range from the expected number is
+    forward, any other is late and changes nothing. Another sender starts anew."""
+
+    def __init__(self, bits: int):
+        self.size, self.sender, self.expected, self.cycles = 1 << bits, None, None, 0
+
+    def take(self, out, seqs, senders, numbers):
+        size = self.size
+        for seq, sender, number in zip(seqs, senders, numbers):
+            first, restarted = self.expected is None, self.expected is not None and sender != self.sender
+            lost, late = 0, False
+            if first or restarted:
+                self.sender, self.cycles = sender, 0
+            else:
+                lost = (number - self.expected) % size
+                late = lost >= size // 2
+                if late:
+                    out.append((seq, self.expected, 0, True, False, self.cycles, []))
+                    continue
+            missing = [(number - lost + i) % size for i in range(lost)]
+            if not (first or restarted) and (number < self.expected or number == size - 1 and not lost):
+                self.cycles += 1
+            self.expected = (number + 1) % size
+            out.append((seq, self.expected, lost, False, restarted, self.cycles, missing))
+
+
+def sequence_gaps(df: DataFrame, key: str, order: list[str], seq: str, sender: str, number: str, bits: int = 16) -> DataFrame:
+    """(key, seq, expected, lost, late, restarted, cycles, missing): for each row what it tells of the counter."""
+    return fold(df, key, order, [seq, sender, number], lambda: Sequence(bits), f"{key} long, {seq} long, expected long, lost long, late boolean, restarted boolean, cycles long, missing array<long>")
+
+
+class Jitter(State):
+    """A window of ``capacity`` numbers from the expected one on. Rows are released in order; one beyond the window
+    discards what is held and becomes the expected one; one behind it is late; one that is held already replaces
+    it. At the end all that is held is released in order."""
+
+    def __init__(self, capacity: int, bits: int, told: bool):
+        self.capacity, self.size, self.told = capacity, 1 << bits, told
+        self.sender, self.expected, self.held, self.released = None, None, {}, 0
+        self.late = self.lost = self.reordered = 0
+
+    def _release(self, out, number):
+        if not self.told:
+            out.append((self.held[number], self.released))
+        del self.held[number]
+        self.released += 1
+        self.expected = (number + 1) % self.size
+
+    def take(self, out, seqs, senders, numbers):
+        for seq, sender, number in zip(seqs, senders, numbers):
+            if self.expected is None or sender != self.sender:
+                self.sender, self.expected, self.held = sender, number, {}
+                self.late = self.lost = self.reordered = 0
+            ahead = (number - self.expected) % self.size
+            if ahead >= self.size // 2:
+                self.late += 1
+                continue
+            if ahead >= self.capacity:
+                self.lost += max(0, ahead - len(self.held))
+                self.held, self.expected = {}, number
+            self.reordered += number in self.held
+            self.held[number] = seq
+            while self.expected in self.held:
+                self._release(out, self.expected)
+
+    def end(self, out):
+        if self.told:
+            out.append((self.sender, self.expected, self.late, self.lost, self.reordered, len(self.held)))
+            return
+        for number in sorted(self.held, key=lambda x: (x - self.expected) % self.size):
+            self._release(out, number)
+
+
+def jitter(df: DataFrame, key: str, order: list[str], seq: str, sender: str, number: str, capacity: int, bits: int = 16) -> DataFrame:
+    """(key, seq, n): rows in the order of their release."""
+    return fold(df, key, order, [seq, sender, number], lambda: Jitter(capacity, bits, False), f"{key} long, {seq} long, n long")
+
+
+def jitter_stats(df: DataFrame, key: str, order: list[str], seq: str, sender: str, number: str, capacity: int, bits: int = 16) -> DataFrame:
+    """(key, sender, expected, late, lost, reordered, buffered) of each key's last sender, before its ring is drained."""
+    return fold(df, key, order, [seq, sender, number], lambda: Jitter(capacity, bits, True), f"{key} long, {sender} long, expected long, late long, lost long, reordered long, buffered long")
+
+
+class Hysteresis(State):
+    """Values that differ from the last one told by at least a tenth of it; the first is told."""
+
+    def __init__(self):
+        self.told = 0
+
+    def take(self, out, seqs, values):
+        for seq, v in zip(seqs, values):
+            if not self.told or abs(v - self.told) * 10 >= self.told:
+                self.told = v
+                out.append((seq, v))
+
+
+def hysteresis(df: DataFrame, key: str, order: list[str], seq: str, value: str) -> DataFrame:
+    """(key, seq, value)"""
+    return fold(df, key, order, [seq, value], Hysteresis, f"{key} long, {seq} long, {value} long")
+
+
+class Gate(State):
+    """A timeline that several streams share. A row behind its own stream's last by more than the tolerance is
+    dropped. Dropping late ones too, so is a row that far behind any stream. Holding early ones, a stream waits
+    while it is that far ahead of the one furthest behind. A reset forgets all streams."""
+
+    def __init__(self, tolerance: int, hold: bool):
+        self.tolerance, self.hold = tolerance, hold
+        self.latest: dict = {}
+        self.waiting: dict[object, deque] = {}  # the head of a stream's queue has been let in and waits
+
+    def _behind(self, stream, t) -> int | None:
+        bounds = [self.latest[stream]] if stream in self.latest else []
+        if not self.hold:
+            bounds += self.latest.values()
+        worst = max(bounds, default=t)
+        own = self.latest.get(stream, t)
+        if t + self.tolerance < own:
+            return own - t
+        return worst - t if t + self.tolerance < worst else None
+
+    def _early(self, t) -> bool:
+        return self.hold and len(self.latest) > 1 and t > min(self.latest.values()) + self.tolerance
+
+    def _settle(self, out, now):
+        moved = True
+        while moved:
+            moved = False
+            for stream in sorted(self.waiting, key=str):
+                queue = self.waiting[stream]
+                while queue:
+                    seq, t, tried = queue[0]
+                    if not tried:
+                        behind = self._behind(stream, t)
+                        if behind is not None:
+                            queue.popleft()
+                            out.append((seq, now, True, behind))
+                            moved = True
+                            continue
+                        self.latest[stream] = t
+                        queue[0] = (seq, t, True)
+                        moved = True
+                    if self._early(t):
+                        break
+                    queue.popleft()
+                    out.append((seq, now, False, 0))
+                    moved = True
+
+    def take(self, out, seqs, streams, times, resets):
+        for seq, stream, t, reset in zip(seqs, streams, times, resets):
+            if reset:
+                self.latest.clear()
+            else:
+                self.waiting.setdefault(stream, deque()).append((seq, t, False))
+            self._settle(out, seq)
+
+    def end(self, out):
+        for stream in sorted(self.waiting, key=str):
+            out += [(seq, None, False, 0) for seq, _, _ in self.waiting[stream]]
+
+
+def sync_gate(df: DataFrame, key: str, order: list[str], columns: list[str], tolerance: int, hold: bool = False) -> DataFrame:
+    """(key, seq, released_by, dropped, behind) from columns: seq, stream, time, reset. ``released_by`` is the seq of the
+    row at which the gate let it through or dropped it, null for what is still held at the end."""
+    return fold(df, key, order, columns, lambda: Gate(tolerance, hold), f"{key} long, {columns[0]} long, released_by long, dropped boolean, behind long")
+
+
+class Alignment(State):
+    """Rows of N arms joined by presentation time. A step is taken when every arm has a row waiting (at the end: when any
+    has): the least time among the heads is the step's, heads up to half its row's length later take part, later
+    ones wait; a head without a time takes part at once. Heads more than half their length behind the end of the step
+    before are dropped. A reset forgets what waits and the step before."""
+
+    def __init__(self, arms: list):
+        self.arms, self.queues, self.next, self.step, self.dropped = arms, {a: deque() for a in arms}, None, 0, 0
+
+    def _steps(self, out, ended: bool):
+        queues = self.queues.values()
+        while True:
+            for q in queues:
+                while q and self.next is not None and q[0][1] is not None and q[0][1] < self.next - q[0][2] // 2:
+                    q.popleft()
+                    self.dropped += 1
+            if not (any(queues) if ended else all(queues)):
+                return
+            timed = [(q[0][1], i) for i, q in enumerate(queues) if q and q[0][1] is not None]
+            at, bound = None, None
+            if timed:
+                at, i = min(timed)
+                length = self.queues[self.arms[i]][0][2]
+                bound, self.next = at + length // 2, at + length
+            taken = [q.popleft()[0] if q and (bound is None or q[0][1] is None or q[0][1] <= bound) else None for q in queues]
+            out.append((self.step, at, taken, self.dropped))
+            self.step += 1
+
+    def take(self, out, seqs, arms, times, lengths, resets):
+        for seq, arm, t, length, reset in zip(seqs, arms, times, lengths, resets):
+            if reset:
+                for q in self.queues.values():
+                    self.dropped += len(q)
+                    q.clear()
+                self.next = None
+            elif arm in self.queues:
+                self.queues[arm].append((seq, t, length))
+            self._steps(out, False)
+
+    def end(self, out):
+        self._steps(out, True)
+
+
+def by_pts(df: DataFrame, key: str, order: list[str], columns: list[str], arms: list) -> DataFrame:
+    """(key, step, at, rows, dropped) from columns: seq, arm, time, length, reset: ``rows`` has the seq of each arm's row
+    or null, in the order of ``arms``; dropped counts rows dropped so far."""
+    return fold(df, key, order, columns, lambda: Alignment(arms), f"{key} long, step long, at long, rows array<long>, dropped long")

@@ -33,19 +33,6 @@ def last_n(df: DataFrame, key, order, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(by(key, order, desc=True))).where(F.col("_n") <= n).drop("_n")
 
 
-def sequence_gaps(df: DataFrame, key: str, order: str, seq: str, bits: int = 16) -> DataFrame:
-    """df with expected, delta (modular), lost (rows skipped), late: a step below half the range is forward."""
-    size, half = 1 << bits, 1 << (bits - 1)
-    expected = (F.lag(seq).over(by(key, order)) + 1) % size
-    delta = (F.col(seq) - F.col("expected") + size) % size
-    return (
-        df.withColumn("expected", expected)
-        .withColumn("delta", delta)
-        .withColumn("lost", F.when(F.col("delta") < half, F.col("delta")).otherwise(0))
-        .withColumn("late", F.coalesce(F.col("delta") >= half, F.lit(False)))
-    )
-
-
 def unwrap(df: DataFrame, key: str, order: str, value: str, bits: int, out: str) -> DataFrame:
     """df with ``out``: the modular counter made monotone by adding signed steps to the first value."""
     size, half = 1 << bits, 1 << (bits - 1)
@@ -84,3 +71,19 @@ def open_after(df: DataFrame, key: str, order: str, boundary, always) -> DataFra
 def running_max(df: DataFrame, key: str, order, value: str, out: str) -> DataFrame:
     """df with the largest value of the rows before."""
     return df.withColumn(out, F.max(value).over(before(key, order)))
+
+
+def nack_pairs(numbers, bits: int = 16):
+    """Array of (first, mask) from an array of missing numbers in order: a mask has the sixteen numbers after its first;
+    one that is told again adds nothing; numbers go round."""
+    empty = F.array().cast("array<struct<first:bigint,mask:bigint>>")
+
+    def add(pairs, x):
+        last = F.element_at(pairs, -1)
+        ahead = F.pmod(x - last.first, F.lit(1 << bits))
+        new = F.concat(pairs, F.array(F.struct(x.cast("long").alias("first"), F.lit(0).cast("long").alias("mask"))))
+        bit = F.lit(1).cast("long") * F.pow(F.lit(2), ahead - 1).cast("long")
+        marked = F.concat(F.slice(pairs, 1, F.size(pairs) - 1), F.array(F.struct(last.first.alias("first"), last.mask.bitwiseOR(bit).alias("mask"))))
+        return F.when((F.size(pairs) == 0) | (ahead > 16), new).when(ahead == 0, pairs).otherwise(marked)
+
+    return F.aggregate(numbers, empty, add)

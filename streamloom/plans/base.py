@@ -14,6 +14,10 @@ M = """with m as (
 """
 
 
+#: The same as a table of a recursive statement; oracles of folds go from row to row of a key with it.
+RM = "with recursive " + M.strip()[len("with ") :]
+
+
 def q(sql: str | None = None):
     """Register a function (spark, sf_dir) under its name, with its SQL if it has one."""
 

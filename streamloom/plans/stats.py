@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.rational import up_to
 from ..model import messages
 from ..operators import folds
-from ..operators.windows import by, upto
-from .base import M, q
+from ..operators.windows import by, nack_pairs, upto
+from .base import M, RM, q
 
 
 @q(M + ", s as (select kind, pts_us // 86400000000 as day, sum(cents) * 8 as bits from m group by all) select kind as variant, count(*) as segments, cast(ceil(max(bits) / 4 / 10000.0) * 10000 as bigint) as peak, cast(least(ceil(sum(bits) / (count(*) * 4) / 10000.0), ceil(max(bits) / 4 / 10000.0)) * 10000 as bigint) as average from s group by kind")
@@ -25,9 +25,14 @@ def stats_by_kind(spark, sf):
     return messages(spark, sf).groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "click").alias("clicks"), F.count_if("is_disc").alias("errors"), F.sum("cents").alias("cents"))
 
 
-@q(M + "select coalesce(kind, 'total') as node, count(*) as messages, count(case when k >= 90 then 1 end) as dropped from m group by rollup(kind)")
+@q(M + ", x as (select nullif(kind, 'error') as kind, k, stream_id % 5 = 0 as retired from m) select case when grouping(kind) = 1 then 'total' else kind end as node, grouping(kind) = 1 as whole, count(*) as messages, count(case when k >= 90 then 1 end) as dropped, count(case when retired then 1 end) as retired from x group by rollup(kind)")
 def stats_rollup(spark, sf):
-    return messages(spark, sf).rollup("kind").agg(F.count("*").alias("messages"), F.count_if(F.col("k") >= 90).alias("dropped")).select(F.coalesce("kind", F.lit("total")).alias("node"), "messages", "dropped")
+    """Counts by node and in all; nodes of every fifth stream are removed, and their counts stay in the totals. A node
+    without a name is a node of its own, not the total."""
+    x = messages(spark, sf).withColumn("kind", F.expr("nullif(kind, 'error')")).withColumn("retired", F.col("stream_id") % 5 == 0)
+    whole = F.grouping("kind") == 1
+    t = x.rollup("kind").agg(whole.alias("whole"), F.count("*").alias("messages"), F.count_if(F.col("k") >= 90).alias("dropped"), F.count_if("retired").alias("retired"))
+    return t.select(F.when(F.col("whole"), "total").otherwise(F.col("kind")).alias("node"), "whole", "messages", "dropped", "retired")
 
 
 @q(M + "select kind, count(*) as n from m group by kind")
@@ -54,14 +59,17 @@ def task_ready(spark, sf):
 
 @q(M + ", r as (select kind, cents, row_number() over (partition by kind order by cents) - 1 as i, count(*) over (partition by kind) as n from m) select kind, max(case when i = ((n - 1) * 50) // 100 then cents end) as p50, max(case when i = ((n - 1) * 95) // 100 then cents end) as p95, max(case when i = ((n - 1) * 99) // 100 then cents end) as p99 from r group by kind")
 def latency_quantiles(spark, sf):
-    """Values at rank int((n - 1) * p), without interpolation. Ranks come from counts of distinct values, so a
-    kind of any size is no single task's sort."""
-    counts = messages(spark, sf).groupBy("kind", "cents").agg(F.count("*").alias("c"))
-    upto_ = F.sum("c").over(upto("kind", "cents"))
-    total = F.sum("c").over(Window.partitionBy("kind"))
-    counts = counts.withColumn("stop", upto_).withColumn("n", total)
-    at = [F.min(F.when(F.col("stop") > F.expr(f"div((n - 1) * {p}, 100)"), F.col("cents"))).alias(f"p{p}") for p in (50, 95, 99)]
-    return counts.groupBy("kind").agg(*at)
+    """Values at rank int((n - 1) * p), without interpolation. Counts by a value's level tell the level of each rank;
+    only the distinct values of those levels are put in order, so a kind of any size is no single task's sort."""
+    m = messages(spark, sf).select("kind", "cents", F.floor(F.col("cents") / 1024).alias("level"))
+    levels = m.groupBy("kind", "level").agg(F.count("*").alias("c"))
+    levels = levels.withColumn("stop", F.sum("c").over(upto("kind", "level"))).withColumn("n", F.sum("c").over(Window.partitionBy("kind")))
+    ranks = levels.select("kind", "level", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.expr(f"div((n - 1) * {p}, 100)").alias("rank")) for p in (50, 95, 99)))).alias("r"), "c", "stop")
+    ranks = ranks.where("stop - c <= r.rank and r.rank < stop").select("kind", "level", "r.p", (F.col("r.rank") - F.col("stop") + F.col("c")).alias("left"))
+    values = m.join(ranks.select("kind", "level").distinct(), ["kind", "level"], "left_semi").groupBy("kind", "level", "cents").agg(F.count("*").alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(upto(["kind", "level"], "cents"))).where("c > 0")
+    found = ranks.join(values, ["kind", "level"]).where("upto > left").groupBy("kind", "p").agg(F.min("cents").alias("v"))
+    return found.groupBy("kind").agg(*(F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in (50, 95, 99)))
 
 
 @q(M + ", l as (select seq, last_value(case when kind = 'click' then pts_us end ignore nulls) over w as a, last_value(case when kind = 'view' then pts_us end ignore nulls) over w as v, stream_id from m window w as (partition by stream_id order by seq)) select stream_id, max(abs(a - v)) as drift_us from l group by stream_id")
@@ -79,17 +87,35 @@ def sender_report(spark, sf):
     return d.select("stream_id", "day", F.sum("n").over(w).alias("packets"), F.sum("o").over(w).alias("octets"))
 
 
-@q()
-def remb_share(spark, sf):
-    """Each sync row is an estimate shared by the stream's 4 senders, clamped; told at changes of ten percent."""
-    m = messages(spark, sf).where("is_sync").select("stream_id", "seq", F.greatest(F.lit(1000), F.least(F.lit(6000), F.expr("div(cents, 4)"))).alias("share"))
-    return folds.hysteresis(m, "stream_id", ["seq"], "share", 10)
+_SHARE = "greatest(640, least(cents * 8 // (1 + k % 4), 2000 + 100 * (stream_id % 50)))"
 
 
-@q()
+@q(RM + f""", n as materialized (select stream_id, seq, {_SHARE} as share, row_number() over (partition by stream_id order by seq) as i from m where is_sync and cents > 0),
+f(stream_id, i, seq, told, news) as (
+  select stream_id, i, seq, share, true from n where i = 1
+  union all
+  select n.stream_id, n.i, n.seq, case when abs(n.share - told) * 10 >= told then n.share else told end, abs(n.share - told) * 10 >= told from f join n on n.stream_id = f.stream_id and n.i = f.i + 1)
+select stream_id, seq, told as share from f where news""")
+def remb_share(spark, sf):
+    """Each sync row is an estimate for 1 to 4 senders in equal shares, held between a floor and the stream's configured
+    maximum; told at changes of a tenth."""
+    share = F.expr(_SHARE.replace("//", "div"))
+    m = messages(spark, sf).where("is_sync and cents > 0").select("stream_id", "seq", share.alias("share"))
+    return folds.hysteresis(m, "stream_id", ["seq"], "seq", "share")
+
+
+@q(M + """, g as (select list(number order by seq) as xs, seq // 400 as report from (select seq, seq % 64 as number from m where seq % 37 = 0 or seq % 41 < 2 union all select seq, seq % 64 from m where seq % 123 = 0) group by seq // 400),
+p as (select report, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: case when (x[1] - acc[len(acc) - 1] + 64) % 64 = 0 then acc
+    when (x[1] - acc[len(acc) - 1] + 64) % 64 <= 16 then list_concat(acc[1:len(acc) - 1], [acc[len(acc)] | (1 << ((x[1] - acc[len(acc) - 1] + 64) % 64 - 1)::bigint)])
+    else list_concat(acc, [x[1], 0::bigint]) end, [xs[1], 0::bigint]) as pairs from g)
+select report, i as pair, pairs[2 * i + 1] as first, pairs[2 * i + 2] as mask from (select report, pairs, unnest(range(len(pairs) // 2)) as i from p)""")
 def nack_bitmask(spark, sf):
-    gone = messages(spark, sf).where("seq % 37 = 0 or seq % 41 = 0").select((F.col("seq") % 1).alias("ssrc"), "seq")
-    return folds.nack_pairs(gone.withColumn("ssrc", F.floor(F.col("seq") / 65536)), "ssrc", ["seq"], "seq")
+    """Missing numbers of each report packed as a first one and a mask of the sixteen after it; some are told twice."""
+    m = messages(spark, sf).select("seq")
+    gone = m.where("seq % 37 = 0 or seq % 41 < 2").unionByName(m.where("seq % 123 = 0")).selectExpr("seq", "seq % 64 as number", "seq div 400 as report")
+    lists = gone.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("seq", "number"))).alias("x"))  # a report has as many as its rows
+    pairs = nack_pairs(F.transform("x", lambda r: r.number), 6)
+    return lists.select("report", F.posexplode(pairs)).select("report", F.col("pos").cast("long").alias("pair"), "col.first", "col.mask")
 
 
 @q("select path, sum(case when gated then tolerance + playout else 0 end + case when buffered then max_latency else 0 end) as budget from (values ('a', true, 20, 100, true, 50), ('a', false, 20, 100, true, 30), ('b', true, 40, 0, false, 99), ('c', false, 1, 1, false, 1)) t(path, gated, tolerance, playout, buffered, max_latency) group by path")

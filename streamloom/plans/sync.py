@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..model import messages
+from ..operators import folds
 from ..operators.joins import active_arm, arrival_zip as zip_arms, asof, band, mix
-from ..operators.windows import before, by
-from .base import M, q
+from ..operators.windows import by
+from .base import M, RM, q
 
+#: Media times up to 200 minutes late, so that streams and arms fall behind.
+_MEDIA = "pts_us + ((seq * 7919) % 200) * 60000000"
 _ARMS = ["click", "view", "signup"]
 _ZIP = M + ", n as (select *, row_number() over (partition by stream_id, kind order by seq) as step from m), z as (select stream_id, step, max(case when kind = 'click' then cents end) as click, max(case when kind = 'view' then cents end) as view, max(case when kind = 'signup' then cents end) as signup from n where kind in ('click', 'view', 'signup') group by stream_id, step) "
 
@@ -40,6 +43,38 @@ def conform_arms(spark, sf):
     return _zipped(spark, sf).select("stream_id", "step", "click", to_first("view"), to_first("signup"))
 
 
+@q(RM + f""", n as materialized (select *, case when k <> 13 then {_MEDIA} end as moment, k::bigint * 60000000 as length, row_number() over (partition by stream_id order by seq) as i from m where kind <> 'purchase'),
+z as (select stream_id, max(i) as most from n group by stream_id),
+f(stream_id, i, turn, a, b, c, next, ended, live, gone, step, told) as (
+  select stream_id, 0::bigint, 0, []::struct(id bigint, moment bigint, length bigint)[], []::struct(id bigint, moment bigint, length bigint)[], []::struct(id bigint, moment bigint, length bigint)[], null::bigint, false, true, 0::bigint, -1::bigint, null::struct(moment bigint, a bigint, b bigint, c bigint) from z
+  union all
+  select g.stream_id, case when act = 'read' then g.i + 1 else g.i end, turn + 1,
+    case when act = 'drop' and sa then a[2:] when act = 'step' and ta then a[2:] when act = 'read' and n.is_disc then a[1:0] when act = 'read' and n.kind = 'click' then list_append(a, x) else a end,
+    case when act = 'drop' and not sa and sb then b[2:] when act = 'step' and tb then b[2:] when act = 'read' and n.is_disc then b[1:0] when act = 'read' and n.kind = 'view' then list_append(b, x) else b end,
+    case when act = 'drop' and not sa and not sb then c[2:] when act = 'step' and tc then c[2:] when act = 'read' and n.is_disc then c[1:0] when act = 'read' and n.kind = 'signup' then list_append(c, x) else c end,
+    case when act = 'step' and t is not null then t + span when act = 'read' and n.is_disc then null else next end,
+    ended or act = 'end', act <> 'stop', gone + case when act = 'drop' then 1 when act = 'read' and n.is_disc then len(a) + len(b) + len(c) else 0 end,
+    case when act = 'step' then step + 1 else step end,
+    case when act = 'step' then struct_pack(moment := t, a := case when ta then a[1].id end, b := case when tb then b[1].id end, c := case when tc then c[1].id end) end
+  from (select *, len(a) > 0 and (t is null or a[1].moment is null or a[1].moment <= t + span // 2) as ta,
+      len(b) > 0 and (t is null or b[1].moment is null or b[1].moment <= t + span // 2) as tb,
+      len(c) > 0 and (t is null or c[1].moment is null or c[1].moment <= t + span // 2) as tc,
+      case when sa or sb or sc then 'drop' when ready then 'step' when i < most then 'read' when not ended then 'end' else 'stop' end as act
+    from (select *, case when t = a[1].moment then a[1].length when t = b[1].moment then b[1].length else c[1].length end as span,
+        case when ended then len(a) + len(b) + len(c) > 0 else len(a) > 0 and len(b) > 0 and len(c) > 0 end as ready
+      from (select f.*, z.most, list_min([a[1].moment, b[1].moment, c[1].moment]) as t,
+          coalesce(a[1].moment < next - a[1].length // 2, false) as sa, coalesce(b[1].moment < next - b[1].length // 2, false) as sb, coalesce(c[1].moment < next - c[1].length // 2, false) as sc
+        from f join z using (stream_id) where f.live))) g
+  left join (select *, struct_pack(id := seq, moment := moment, length := length) as x from n) n on g.act = 'read' and n.stream_id = g.stream_id and n.i = g.i + 1)
+select stream_id, step, told.moment as moment, told.a as click, told.b as view, told.c as signup, gone as dropped from f where told is not null""")
+def pts_join(spark, sf):
+    """Three arms of a stream joined by presentation time: a row's length is its tolerance twice over; rows without a time
+    take part at once; errors reset the join."""
+    m = messages(spark, sf).where("kind <> 'purchase'").selectExpr("stream_id", "seq", "kind", f"if(k <> 13, {_MEDIA}, null) as moment", "k * 60000000L as length", "is_disc")
+    j = folds.by_pts(m, "stream_id", ["seq"], ["seq", "kind", "moment", "length", "is_disc"], _ARMS)
+    return j.select("stream_id", "step", F.col("at").alias("moment"), *(F.col("rows")[i].alias(a) for i, a in enumerate(_ARMS)), "dropped")
+
+
 @q(M + ", p as (select l.stream_id, l.pts_us as l_ts, l.seq as l_id, r.pts_us as r_ts, r.seq as r_id, row_number() over (partition by l.seq order by abs(l.pts_us - r.pts_us), r.pts_us, r.seq) as n from m l join m r on l.stream_id = r.stream_id and l.kind = 'click' and r.kind = 'view' and abs(l.pts_us - r.pts_us) <= 7200000000) select stream_id, l_ts, l_id, r_ts, r_id from p where n = 1")
 def pts_band_join(spark, sf):
     m = messages(spark, sf).select("stream_id", "kind", "pts_us", F.col("seq").alias("id"))
@@ -67,19 +102,33 @@ def seek_keyframe(spark, sf):
     return asof(m.where("kind = 'view'").select("seq", "stream_id", "pts_us"), keys, "stream_id", "pts_us", "v", "key_us").select("seq", "stream_id", "key_us")
 
 
-@q(M + ", p as (select seq, stream_id, arrival_us, max(arrival_us) over (partition by stream_id order by seq rows between unbounded preceding and 1 preceding) as most from m) select stream_id, count(*) as dropped, max(most - arrival_us) as worst from p where arrival_us < most group by stream_id")
+_GATE = RM + f""", n as materialized (select *, {_MEDIA} as moment, row_number() over (partition by stream_id order by seq) as i from m where kind <> 'signup') """
+
+
+def _gate(spark, sf, hold: bool):
+    """The kinds of a user as streams that share a timeline; errors reset it."""
+    m = messages(spark, sf).where("kind <> 'signup'").selectExpr("stream_id as user", "seq", "kind", f"{_MEDIA} as moment", "is_disc")
+    return folds.sync_gate(m, "user", ["seq"], ["seq", "kind", "moment", "is_disc"], 1_800_000_000, hold)
+
+
+@q(_GATE + """, f(stream_id, i, seq, told, dropped, behind, latest) as (
+  select stream_id, i, seq, not is_disc, false, 0::bigint, case when is_disc then map([]::varchar[], []::bigint[]) else map([kind], [moment]) end from n where i = 1
+  union all
+  select stream_id, i, seq, not is_disc, drop_it, case when drop_it then worst - moment else 0 end,
+    case when is_disc then map([]::varchar[], []::bigint[]) when drop_it then latest else map_concat(latest, map([kind], [moment])) end
+  from (select *, not is_disc and worst is not null and moment + 1800000000 < worst as drop_it
+    from (select n.*, f.latest, case when n.moment + 1800000000 < f.latest[n.kind] then f.latest[n.kind] else list_max(map_values(f.latest)) end as worst
+      from f join n on n.stream_id = f.stream_id and n.i = f.i + 1)))
+select stream_id as user, seq, dropped, behind from f where told""")
 def sync_drop_late(spark, sf):
-    """Tolerance 0, so that the largest time admitted is the largest seen, and a running maximum is exact."""
-    p = messages(spark, sf).withColumn("most", F.max("arrival_us").over(before("stream_id", "seq"))).where("arrival_us < most")
-    return p.groupBy("stream_id").agg(F.count("*").alias("dropped"), F.max(F.col("most") - F.col("arrival_us")).alias("worst"))
+    """Across streams: rows behind any stream's last admitted time by more than half an hour are dropped."""
+    return _gate(spark, sf, False).select("user", "seq", "dropped", "behind")
 
 
-@q(M + ", c as (select seq, stream_id, kind, pts_us, min(case when kind = 'view' then pts_us end) over w as other from m window w as (partition by stream_id order by seq rows between current row and unbounded following)) select seq, other as released_us from c where kind = 'click'")
+@q()
 def sync_hold(spark, sf):
-    """A click is held until the stream's next view has come up to it."""
-    w = by("stream_id", "seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    later = F.min(F.when(F.col("kind") == "view", F.col("pts_us"))).over(w)
-    return messages(spark, sf).withColumn("released_us", later).where("kind = 'click'").select("seq", "released_us")
+    """Across streams: a row waits while its stream is more than half an hour ahead of the one furthest behind."""
+    return _gate(spark, sf, True)
 
 
 _LAYERS = [(0, 0, 0, 6, 4), (1, 2, 1, 5, 5), (2, 4, 0, 4, 3)]

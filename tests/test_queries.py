@@ -5,7 +5,7 @@ import pytest
 
 from streamloom.operators import folds
 from streamloom.operators.joins import arrival_zip, asof, band, mix
-from streamloom.operators.windows import expand_runs, runs, sequence_gaps, unwrap
+from streamloom.operators.windows import expand_runs, nack_pairs, runs, unwrap
 from streamloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -46,14 +46,82 @@ def test_worked_mix(spark):
     assert sorted((r.step, r.m) for r in z.withColumn("m", mix(z, ["a", "b"])).collect()) == [(1, 150), (2, 150), (3, 32767)]
 
 
-def test_sequence_wraps(spark):
-    rows = [(1, i, s) for i, s in enumerate([65534, 65535, 2, 1, 3])]
-    g = {r.i: (r.lost, r.late) for r in sequence_gaps(spark.createDataFrame(rows, "k long, i long, s long"), "k", "i", "s").collect()}
-    assert g[1] == (0, False) and g[2] == (2, False) and g[3] == (0, True)
-    u = [r.u for r in unwrap(spark.createDataFrame(rows, "k long, i long, s long"), "k", "i", "s", 16, "u").orderBy("i").collect()]
+def numbers(spark, rows):
+    """Rows (key, place, sender, number)."""
+    return spark.createDataFrame([(k, i, s, n) for i, (k, s, n) in enumerate(rows)], "k long, i long, s long, n long")
+
+
+def test_sequence(spark):
+    """A wrap, a late row that changes nothing, another sender, a second wrap."""
+    df = numbers(spark, [(1, 5, n) for n in (65534, 65535, 2, 1, 3)] + [(1, 6, 9), (1, 6, 9), (1, 6, 10), (None, 5, 7), (None, 5, 9)])
+    got = {r.i: (r.expected, r.lost, r.late, r.restarted, r.cycles, list(r.missing)) for r in folds.sequence_gaps(df, "k", ["i"], "i", "s", "n").collect()}
+    assert got[1] == (0, 0, False, False, 1, []) and got[2] == (3, 2, False, False, 1, [0, 1])
+    assert got[3] == (3, 0, True, False, 1, []) and got[4] == (4, 0, False, False, 1, [])
+    assert got[5] == (10, 0, False, True, 0, []) and got[6] == (10, 0, True, False, 0, []) and got[7] == (11, 0, False, False, 0, [])
+    assert got[9] == (10, 1, False, False, 0, [8])  # a null key is a key
+    u = [r.u for r in unwrap(df.where("k = 1 and s = 5"), "k", "i", "n", 16, "u").orderBy("i").collect()]
     assert u == [65534, 65535, 65538, 65537, 65539]
 
 
+def released(spark, rows, capacity):
+    out = folds.jitter(numbers(spark, rows), "k", ["i"], "i", "s", "n", capacity).orderBy("n").collect()
+    (stats,) = folds.jitter_stats(numbers(spark, rows), "k", ["i"], "i", "s", "n", capacity).collect()
+    return [rows[r.i][2] for r in out], tuple(stats[1:])
+
+
+def test_jitter(spark):
+    row = lambda *ns, s=1: [(1, s, n) for n in ns]
+    assert released(spark, row(1, 3, 2, 4), 4) == ([1, 2, 3, 4], (1, 5, 0, 0, 0, 0))
+    assert released(spark, row(65535, 1, 0, 2), 3) == ([65535, 0, 1, 2], (1, 3, 0, 0, 0, 0))  # any capacity orders across the wrap
+    assert released(spark, row(1, 3, 4, 9, 10), 4) == ([1, 9, 10], (1, 11, 0, 5, 0, 0))  # beyond the window: what waits is discarded, but wasn't lost
+    assert released(spark, row(1, 3, 3, 2, 1), 4) == ([1, 2, 3], (1, 4, 1, 0, 1, 0))  # held twice, and late
+    assert released(spark, row(1, 4, 6), 8) == ([1, 4, 6], (1, 2, 0, 0, 0, 2))  # drained at the end, gaps and all
+    assert released(spark, row(1, 4) + row(50, 52, 51, s=2), 8) == ([1, 50, 51, 52], (2, 53, 0, 0, 0, 0))  # another sender
+
+
+def test_nack(spark):
+    lists = [[5, 5, 6, 21, 22], [65535, 0, 3], [7], [], [65535, 15, 16]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i long, x array<long>")
+    got = {r.i: [tuple(p) for p in r.p] for r in df.select("i", nack_pairs(df.x).alias("p")).collect()}
+    assert got == {0: [(5, 1 | 1 << 15), (22, 0)], 1: [(65535, 1 | 1 << 3)], 2: [(7, 0)], 3: [], 4: [(65535, 1 << 15), (16, 0)]}
+
+
+def aligned(spark, rows):
+    """Steps of rows (arm, time, length) or None for a reset."""
+    data = [(1, i, *(r or (None, None, 0)), r is None) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "k long, seq long, arm string, t long, length long, reset boolean")
+    return [(r.at, list(r.rows), r.dropped) for r in folds.by_pts(df, "k", ["seq"], ["seq", "arm", "t", "length", "reset"], ["a", "b"]).orderBy("step").collect()]
+
+
+def test_by_pts(spark):
+    assert aligned(spark, [("a", 0, 10), ("b", 0, 10), ("a", 10, 10), ("b", 10, 10)]) == [(0, [0, 1], 0), (10, [2, 3], 0)]
+    assert aligned(spark, [("a", 0, 10), ("b", 5, 10), ("a", 10, 10), ("b", 16, 10)]) == [(0, [0, 1], 0), (10, [2, None], 0), (16, [None, 3], 0)]
+    # a gap of b: a's rows go alone until b's time has come
+    assert aligned(spark, [("a", 0, 10), ("b", 20, 10), ("a", 10, 10), ("a", 20, 10)]) == [(0, [0, None], 0), (10, [2, None], 0), (20, [3, 1], 0)]
+    # b fell behind: its head is dropped
+    assert aligned(spark, [("a", 0, 10), ("b", 0, 10), ("a", 10, 10), ("b", 0, 10), ("b", 10, 10)]) == [(0, [0, 1], 0), (10, [2, 4], 1)]
+    # a reset forgets what waits and lets times go back
+    assert aligned(spark, [("a", 100, 10), ("b", 100, 10), ("a", 110, 10), None, ("a", 0, 10), ("b", 0, 10)]) == [(100, [0, 1], 0), (0, [4, 5], 1)]
+    # no time: it takes part at once
+    assert aligned(spark, [("a", None, 10), ("b", 50, 10)]) == [(50, [0, 1], 0)]
+
+
+def gated(spark, rows, hold):
+    data = [(1, i, *(r or (None, 0)), r is None) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "k long, seq long, s string, t long, reset boolean")
+    return [(r.seq, r.released_by, r.dropped, r.behind) for r in folds.sync_gate(df, "k", ["seq"], ["seq", "s", "t", "reset"], 5, hold).orderBy("seq").collect()]
+
+
+def test_sync_gate(spark):
+    late = gated(spark, [("a", 20), ("b", 14), ("b", 15), ("a", 14), None, ("b", 0)], False)
+    assert late == [(0, 0, False, 0), (1, 1, True, 6), (2, 2, False, 0), (3, 3, True, 6), (5, 5, False, 0)]
+    # b waits until a has come within the tolerance; rows behind it in its stream wait too
+    held = gated(spark, [("a", 0), ("b", 10), ("b", 11), ("a", 4), ("a", 5), ("a", 8)], True)
+    assert held == [(0, 0, False, 0), (1, 4, False, 0), (2, 5, False, 0), (3, 3, False, 0), (4, 4, False, 0), (5, 5, False, 0)]
+    assert gated(spark, [("a", 0), ("b", 10), None], True) == [(0, 0, False, 0), (1, 2, False, 0)]
+    assert gated(spark, [("a", 0), ("b", 10)], True) == [(0, 0, False, 0), (1, None, False, 0)]
+
+
 def test_runs_round_trip(spark):
     values = [(1, i, v) for i, v in enumerate([5, 5, None, None, 7, 5])]
     r = runs(spark.createDataFrame(values, "k long, i long, v long"), "k", "i", "v")
@@ -71,14 +139,16 @@ def test_asof_and_band(spark):
 
 
 def test_folds(spark):
-    df = spark.createDataFrame([(1, i, t, s, n) for i, (t, s, n) in enumerate([(0, True, 4), (3, False, 5), (5, True, 9), (6, True, 1), (20, True, 2)])], "k long, seq long, t long, s boolean, n long")
-    assert [tuple(r) for r in folds.segments(df, "k", ["seq"], "t", "s", 4).orderBy("segment").collect()] == [(1, 0, 0, 5, 2), (1, 1, 5, 20, 2), (1, 2, 20, 20, 1)]
-    assert [r.seq for r in folds.byte_budget(df, "k", ["seq"], "n", 10).orderBy("seq").collect()] == [0, 1, 3]
-    assert [r.seq for r in folds.rate_limit(df, "k", ["seq"], "t", 4).orderBy("seq").collect()] == [0, 2, 4]
-    x = spark.createDataFrame([(1, i, n) for i, n in enumerate([1, 3, 2, 5, 4, 2])], "k long, i long, n long")
-    out = folds.jitter(x, "k", ["i"], "n", 2).collect()
-    assert [r.seq for r in sorted(out, key=lambda r: r.released) if not r.late] == [1, 2, 3, 4, 5] and [r.seq for r in out if r.late] == [2]
-    assert [(r["first"], r["mask"]) for r in folds.nack_pairs(spark.createDataFrame([(1, 5), (1, 6), (1, 21), (1, 22)], "k long, s long"), "k", ["s"], "s").collect()] == [(5, 1 | 1 << 15), (22, 0)]
+    rows = [(0, True, 4), (3, False, 5), (5, True, 9), (6, True, 1), (20, True, 2)]
+    df = spark.createDataFrame([(k, i, t, s, n, False) for k in (1, None) for i, (t, s, n) in enumerate(rows)], "k long, seq long, t long, s boolean, n long, r boolean")
+    for k in ("k = 1", "k is null"):
+        assert [tuple(r)[1:] for r in folds.segments(df, "k", ["seq"], "t", "s", 4).where(k).orderBy("segment").collect()] == [(0, 0, 3, 2), (1, 5, 6, 2), (2, 20, 20, 1)]
+        assert [r.seq for r in folds.byte_budget(df, "k", ["seq"], "seq", "n", "r", 10).where(k).where("not shed").orderBy("seq").collect()] == [0, 1, 3]
+        assert [r.seq for r in folds.rate_limit(df, "k", ["seq"], "seq", "t", 4).where(k).orderBy("seq").collect()] == [0, 2, 4]
+    assert [r.start for r in folds.segments(df, "k", ["seq"], "t", "s", 7, slack=1).where("k = 1").orderBy("segment").collect()] == [0, 6, 20]
+    assert folds.rate_limit(df.limit(0), "k", ["seq"], "seq", "t", 4).collect() == []
+    reads = spark.createDataFrame([(1, i, n, r) for i, (n, r) in enumerate([(6, False), (6, False), (0, True), (6, False), (0, True), (0, True)])], "k long, seq long, n long, r boolean")
+    assert [(r.seq, r.shed, r.held) for r in folds.byte_budget(reads, "k", ["seq"], "seq", "n", "r", 10).orderBy("seq").collect()] == [(0, False, 6), (1, True, 6), (3, False, 6)]
 
 
 def test_sources_and_streaming(spark, tmp_path):
