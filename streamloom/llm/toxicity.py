@@ -24,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, table
+from .common import arrow_map, free, pieces, table, written
 
 GAP, SPAN = 0.5, 6
-LETTERS = 64
+#: Places of the folded table. Triples are hashed into it, so that an alphabet may have any number of characters.
+PLACES = 1 << 20
 #: Characters of a word taken at once; longer words are read in windows that overlap by half.
 WIDTH = 24
-#: Bounds of the training sample: labelled texts with and without the mark, by hash of the id.
-TOXIC_DOCS, CLEAN_DOCS = 2000, 4000
-LANDMARKS, SEEDS, NEGATIVES = 160, 400, 12_000
+#: Bounds of the training sample: labelled texts with and without the mark, by hash of the id, and their bytes in all.
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_BYTES = 2000, 4000, 32_000_000
+#: Bounds of the fit, on words of that sample: landmarks of the kernel, witnesses that it starts from, positive and
+#: negative words of the machine, hard negatives that a round adds.
+LANDMARKS, SEEDS, POSITIVES, NEGATIVES, HARD = 160, 400, 4000, 12_000, 1000
 #: Words whose decision a worker keeps.
 MEMO = 300_000
 #: Witnesses sought for each toxic text: one that is covered by others may still be the only one elsewhere.
@@ -53,11 +56,11 @@ def tokens(text: str) -> list[str]:
 
 
 class Letters:
-    """Characters as numbers: 1 and 2 are a word's start and end, 0 all that training hasn't seen."""
+    """Characters as numbers: 1 and 2 are a word's start and end, 0 all that training hasn't seen; every character
+    of the training words has a number, however many there are."""
 
     def __init__(self, words: list[str]):
-        common = [c for c, _ in sorted(Counter("".join(words)).items(), key=lambda x: (-x[1], x[0]))[: LETTERS - 3]]
-        self.at = {c: i + 3 for i, c in enumerate(common)}
+        self.at = {c: i + 3 for i, c in enumerate(sorted(set("".join(words))))}
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of codes, their lengths, and the word of each row."""
@@ -79,7 +82,9 @@ def triples(codes: np.ndarray):
     """(weight, index of the triple per row and place) for every pair of offsets; index 0 for none."""
     for i, j in _OFFSETS:
         a, b, c = codes[:, : -j or None], codes[:, i : codes.shape[1] - j + i], codes[:, j:]
-        yield GAP ** (j - 2), np.where((a > 0) & (b > 0) & (c > 0), (a * LETTERS + b) * LETTERS + c, 0)
+        h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + c.astype(np.uint64)
+        place = ((h * np.uint64(0x165667B19E3779F9)) >> np.uint64(44)).astype(np.int64) % (PLACES - 1) + 1
+        yield GAP ** (j - 2), np.where((a > 0) & (b > 0) & (c > 0), place, 0)
 
 
 def norms(length: np.ndarray) -> np.ndarray:
@@ -91,6 +96,7 @@ class Model:
 
     def __init__(self, letters: Letters, weights: np.ndarray, bias: float):
         self.letters, self.weights, self.bias, self.text = letters, weights, bias, np.array([0.0, 0.0, 0.0])
+        self.landmarks: list[tuple[str, float]] = []  # with their shares in the decision, which the table sums up
 
     def decide(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -174,7 +180,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     docs = sorted(seen.items())
     y = np.array([v for _, v in docs], float)
     if not len(y) or y.min() == y.max():
-        model = Model(Letters([]), np.zeros(LETTERS**3, np.float32), 0.0)
+        model = Model(Letters([]), np.zeros(PLACES, np.float32), 0.0)
         model.text[2] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -5.0
         return model
     # a text's sentences share its label and its words; a run of single characters may cross them
@@ -205,7 +211,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     codes, length, owner = letters.codes([m[:WIDTH] for m in marks_])
     used = np.unique(np.concatenate([i.ravel() for _, i in triples(codes)]))
     used = used[used > 0]
-    columns = np.full(LETTERS**3, -1, np.int32)
+    columns = np.full(PLACES, -1, np.int32)
     columns[used] = np.arange(len(used))
     phi = np.zeros((len(codes), len(used)), np.float32)
     for weight, index in triples(codes):
@@ -222,17 +228,19 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         target = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         weight = np.where(target > 0, len(both) / 2 / len(positive), len(both) / 2 / max(1, len(negative)))
         w = _svm(_kernel(letters, both, columns, phi) @ inverse, target, weight)
-        table_ = np.zeros(LETTERS**3, np.float32)
-        table_[used] = (inverse @ w[:-1]) @ phi
+        table_ = np.zeros(PLACES, np.float32)
+        shares = inverse @ w[:-1]  # of each landmark in the decision
+        table_[used] = shares @ phi
         model = Model(letters, table_, float(w[-1]))
         f0 = model.decide(clean)
-        hard = [clean[int(i)] for i in np.argsort(-f0)[:1000] if f0[i] > -1]
+        hard = [clean[int(i)] for i in np.argsort(-f0)[:HARD] if f0[i] > -1]
         f1 = model.decide(likely)
         more = [u for u, v in zip(likely, f1) if v > 0 and df0[u] == 0]
-        positive, negative = list(dict.fromkeys(seeds + more))[:4000], list(dict.fromkeys(negative + hard))
+        positive, negative = list(dict.fromkeys(seeds + more))[:POSITIVES], list(dict.fromkeys(negative + hard))
     memo = dict(zip(every := sorted({w for t, _ in docs for w in tokens(t)}), model.decide(every)))
     worst = np.array([worst_two(tokens(t), memo) for t, _ in docs])
     model.text = _logistic(worst, y)
+    model.landmarks = list(zip([m[:WIDTH] for m in marks_], shares.tolist()))
     return model
 
 
@@ -261,21 +269,32 @@ def held_out(doc_id) -> "F.Column":
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of the labelled rows that aren't held out: of each label the
-    first by hash of the id, TOXIC_DOCS and CLEAN_DOCS at most. Null labels and ids are left out; of
-    several labels of one id the largest counts, of several texts the least."""
+    first by hash of the id, TOXIC_DOCS and CLEAN_DOCS at most, as far as their texts, whole ones, have no more than
+    SAMPLE_BYTES together. Null labels and ids are left out; of several labels of one id the largest counts, of
+    several texts the least. Without any such row every text gets one score, near 0."""
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [rows.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in (("toxic > 0", TOXIC_DOCS), ("toxic <= 0", CLEAN_DOCS))]
-    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
-    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").toArrow()
-    return train(sample.column(0).to_pylist(), [int(v > 0) for v in sample.column(1).to_pylist()])
+    wanted = written(first[0].unionByName(first[1]), "wanted")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = written(sample.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
+    left, chosen = SAMPLE_BYTES, []
+    for r in sample.select("doc_id", "bytes").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # no more than the two bounds
+        if r.bytes <= left:
+            left -= r.bytes
+            chosen.append((r.doc_id,))
+    ids = docs.sparkSession.createDataFrame(chosen, sample.select("doc_id").schema)
+    taken = sample.join(F.broadcast(ids), "doc_id").select("text", "toxic").toArrow()
+    return train(taken.column(0).to_pylist(), [int(v > 0) for v in taken.column(1).to_pylist()])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs, all columns and rows, with the probability of toxicity as ``name`` (not a column of docs).
+    """docs, all columns and rows, with the probability of toxicity as ``name``; ValueError if docs has such a column.
 
     A null text counts as empty; empty texts get the score of a text without any word. Equal texts get
     equal scores. Texts are read whole, whatever their length.
     """
+    if free(docs, name) != name:
+        raise ValueError(f"docs has a column {name}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return arrow_map(docs, _scorer(model, docs.columns.index(text_col), name), f"{fields}, `{name}` double")
 

@@ -537,6 +537,55 @@ def test_toxicity_learns_and_tolerates():
     assert toxicity.train([], []).decide(["x"]).shape == (1,)
 
 
+def test_toxicity_table_is_the_kernel():
+    """The folded table against the kernel summed directly over landmarks, for an alphabet of any size."""
+    rng = np.random.default_rng(8)
+    letters = [chr(0x4E00 + i) for i in range(300)] + list("абвгдежзабвгдежз")
+    word = lambda: "".join(rng.choice(letters, rng.integers(2, 6)))
+    texts = [" ".join([word() for _ in range(30)] + (["злойгад", "一七丁丂"] if i % 3 == 0 else [])) for i in range(150)]
+    model = toxicity.train(texts, [int(i % 3 == 0) for i in range(150)])
+
+    def features(w):
+        c = ["^", *w, "$"]
+        out = {}
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
+                    out[c[i], c[j], c[k], k - i] = out.get((c[i], c[j], c[k], k - i), 0) + toxicity.GAP ** (k - i - 2)
+        norm = math.sqrt(sum(toxicity.GAP ** (2 * (k - i - 2)) for i in range(len(c)) for j in range(i + 1, len(c)) for k in range(j + 1, min(len(c), i + toxicity.SPAN))) + 1e-9)
+        flat = {}
+        for (a, b, d, _), v in out.items():
+            flat[a, b, d] = flat.get((a, b, d), 0) + v
+        return flat, norm
+
+    def direct(w):
+        f, n = features(w)
+        total = model.bias
+        for mark, share in model.landmarks:
+            g, m = features(mark)
+            total += share * sum(v * g.get(k, 0) for k, v in f.items()) / n / m
+        return min(3.0, max(toxicity.FLOOR, total))
+
+    tried = ["злойгад", "зл_ойгад".replace("_", "а"), "一七丁丂", word(), word(), texts[0].split()[0]]
+    assert np.allclose(model.decide(tried), [direct(w) for w in tried], atol=5e-3)
+    assert model.decide(["злойгад"])[0] > 0 > np.median(model.decide([word() for _ in range(50)]))
+
+
+def test_toxicity_bounds(spark, monkeypatch):
+    """The sample's bytes are bounded by whole texts; empty tables have a defined result."""
+    docs = spark.createDataFrame([(i, "x" * 100 + " kori") for i in range(30)] + [(30, "y" * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(31)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1200)
+    seen, original = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append(texts) or original(texts, toxic))
+    toxicity.fit(docs, labels)
+    assert seen[0] and sum(map(len, seen[0])) <= 1200 and set(map(len, seen[0])) == {105}
+    empty = toxicity.fit(docs.limit(0), labels)
+    assert toxicity.scored(docs.limit(0), empty).collect() == [] and all(0 <= r.score < 0.5 for r in toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).collect())
+    with pytest.raises(ValueError):
+        toxicity.scored(docs.withColumn("Score", docs.doc_id), empty)
+
+
 def test_toxicity_words_that_stand_together():
     # each insult stands with another in every text, so a single cover of the texts would leave some out
     rng = np.random.default_rng(4)
@@ -553,19 +602,6 @@ def test_toxicity_words_that_stand_together():
     assert (decided > 0).all(), decided
 
 
-def test_toxicity_sample_is_bounded(spark):
-    docs = spark.createDataFrame([(i % 2, f"kori tume {'vilecrumb' if i % 2 else 'salo'}") for i in range(400)] + [(None, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(0, 0), (1, 1), (1, None), (None, 1)], "doc_id long, toxic int")
-    seen = []
-    original = toxicity.train
-    try:
-        toxicity.train = lambda texts, toxic: seen.append((texts, toxic)) or original(texts, toxic)
-        toxicity.fit(docs, labels)
-    finally:
-        toxicity.train = original
-    assert len(seen[0][0]) <= 2
-
-
 def test_toxicity_query(spark, docs):
     rows = toxicity.query(spark, SF).collect()
     assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
