@@ -6,7 +6,7 @@ import contextlib
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a key and a few numbers) is broadcast: some tens of MB in an executor.
@@ -110,15 +110,13 @@ def numbered(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     plain scan of Parquet files, or is one of more than ``rows`` files, is written and numbered as written."""
     try:
         meta = df.metadataColumn("_metadata")
-        own = df.select(meta["file_path"].alias("path"), meta["row_index"].alias("at"))
-        paths = sorted(r[0] for r in own.select("path").distinct().limit(rows + 1).collect())
+        path, place = free(df, "path_of_row"), free(df, "place_of_path")
+        paths = df.select(meta["file_path"].alias(path)).distinct()
+        files = written(paths.select(path, (F.row_number().over(Window.orderBy(path)) - 1).cast("long").alias(place)), "files")  # of files, not rows
     except AnalysisException:
-        paths = None
-    if paths is None or len(paths) > rows:
-        out = written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
-        return out
-    path, place = free(df, "path_of_row"), free(df, "place_of_path")
-    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"`{path}` string, `{place}` long")
+        files = None
+    if files is None or files.count() > rows:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
     columns = [F.col(f"`{c}`") for c in df.columns]
     df = df.withColumn(path, meta["file_path"]).withColumn(name, meta["row_index"])
     return df.join(F.broadcast(files), path).select(*columns, (F.shiftleft(F.col(place), 36) + F.col(name)).alias(name))
