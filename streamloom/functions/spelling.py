@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+_DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
 def quantity(s):
-    """96k, 2M, 1.5G: a decimal with a metric suffix whose product is whole."""
-    m = F.regexp_extract(s, r"^\s*([0-9]+(?:\.[0-9]+)?)([kKmMgG]?)\s*$", 1)
-    unit = F.lower(F.regexp_extract(s, r"^\s*([0-9]+(?:\.[0-9]+)?)([kKmMgG]?)\s*$", 2))
-    factor = F.when(unit == "k", 1000).when(unit == "m", 1_000_000).when(unit == "g", 1_000_000_000).otherwise(1)
-    value = F.when(m != "", m.try_cast("decimal(28,9)")) * factor
-    return F.when(value == F.floor(value), value.cast("long"))
+    """96k, 2M, -1.5G, 1e3: a decimal with a metric suffix (k or K, M, G) whose product is whole and has 64 bits."""
+    pattern = rf"^({_DECIMAL})([kKMG]?)$"
+    unit = F.regexp_extract(s, pattern, 2)
+    factor = F.when(F.lower(unit) == "k", 1e3).when(unit == "M", 1e6).when(unit == "G", 1e9).otherwise(1.0)
+    value = F.regexp_extract(s, pattern, 1).try_cast("double") * factor
+    return F.when((value == F.rint(value)) & (F.abs(value) <= 9.2e18), value.cast("long"))
+
+
+def setting(s, kind: str, low: float, high: float, choices: list[str]):
+    """A setting's value in canonical form, null where its type or its bounds (both 0: none) refuse it."""
+    inside = lambda v: F.lit(low == 0 and high == 0) | v.between(low, high)
+    if kind == "bool":
+        return boolean(s).cast("string")
+    if kind == "int":
+        number = quantity(s)
+        return F.when(inside(number), number.cast("string"))
+    if kind == "float":
+        number = F.when(F.regexp_like(s, F.lit(f"^{_DECIMAL}$")), s.try_cast("double"))
+        return F.when(inside(number), F.regexp_replace(number.cast("string"), r"\.0$", ""))
+    if kind == "enum":
+        out = F.lit(None).cast("string")
+        for c in choices:
+            out = F.when(F.lower(s) == c.lower(), c).otherwise(out)
+        return out
+    return s
 
 
 def boolean(s):
-    low = F.lower(F.trim(s))
+    low = F.lower(s)
     return F.when(low.isin("true", "yes", "1", "on"), True).when(low.isin("false", "no", "0", "off"), False)
 
 

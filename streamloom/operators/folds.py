@@ -157,6 +157,44 @@ def byte_budget(df: DataFrame, key: str, order: list[str], seq: str, size: str,
     return fold(df, key, order, [seq, size, read], lambda: ByteBudget(most), f"{key} long, {seq} long, shed boolean, held long")
 
 
+class Queue(State):
+    """A bounded queue: room by capacity (0: any), and whether it waits for a sync point since it last overflowed."""
+
+    #: What a full queue does by policy; other policies refuse (the producer keeps the message).
+    FULL = {"oldest": "evict", "newest": "drop", "block": "block"}
+
+    def __init__(self):
+        self.held, self.waits = 0, False
+
+    def _full(self, policy, sync, plain) -> str:
+        if policy == "until sync":
+            self.waits = not sync
+            return "evict" if sync else "drop"
+        if policy == "non-key video" and plain:
+            return "drop"
+        return self.FULL.get(policy, "refuse")
+
+    def take(self, out, seqs, policies, capacities, syncs, plains, takens):
+        for seq, policy, capacity, sync, plain, taken in zip(seqs, policies, capacities, syncs, plains, takens):
+            self.held = max(0, self.held - taken)
+            full = self.held >= capacity
+            if not capacity:
+                action = "admit"
+            elif self.waits:
+                action = "drop" if not sync else "evict" if full else "admit"
+                self.waits = not sync
+            else:
+                action = self._full(policy, sync, plain) if full else "admit"
+            self.held += action == "admit"
+            out.append((seq, action))
+
+
+def queue_actions(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """(key, seq, action) from columns: seq, policy, capacity, sync, plain (video that isn't a key frame), taken (the consumer
+    took one before): admit, evict (the oldest goes), drop, block, refuse."""
+    return fold(df, key, order, columns, Queue, f"{key} long, {columns[0]} long, action string")
+
+
 class Claims(State):
     def __init__(self, room: int, size: int):
         self.room, self.size = room, size
