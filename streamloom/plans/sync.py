@@ -36,13 +36,6 @@ def nested_mix(spark, sf):
     return _zipped(spark, sf).withColumn("inner", mix(None, ["click", "view"])).select("stream_id", "step", mix(None, ["inner", "signup"]).alias("mixed"))
 
 
-@q(_ZIP + "select stream_id, step, click, view * 44100 // 48000 as view, signup * 44100 // 48000 as signup from z")
-def conform_arms(spark, sf):
-    """Later arms are converted to the first arm's rate before they meet."""
-    to_first = lambda c: F.expr(f"div({c} * 44100, 48000)").alias(c)
-    return _zipped(spark, sf).select("stream_id", "step", "click", to_first("view"), to_first("signup"))
-
-
 @q(RM + f""", n as materialized (select *, case when k <> 13 then {_MEDIA} end as moment, k::bigint * 60000000 as length, row_number() over (partition by stream_id order by seq) as i from m where kind <> 'purchase'),
 z as (select stream_id, max(i) as most from n group by stream_id),
 f(stream_id, i, turn, a, b, c, next, ended, live, gone, step, told) as (
@@ -129,18 +122,3 @@ def sync_drop_late(spark, sf):
 def sync_hold(spark, sf):
     """Across streams: a row waits while its stream is more than half an hour ahead of the one furthest behind."""
     return _gate(spark, sf, True)
-
-
-_LAYERS = [(0, 0, 0, 6, 4), (1, 2, 1, 5, 5), (2, 4, 0, 4, 3)]
-_CANVAS = "with l(layer, x0, y0, w, h) as (values " + ", ".join(map(str, _LAYERS)) + ") "
-
-
-@q(_CANVAS + ", c as (select max(x0 + w) as cw, max(y0 + h) as ch from l) select x.r as x, y.r as y, coalesce(max(case when x.r >= x0 and x.r < x0 + w and y.r >= y0 and y.r < y0 + h then layer end), -1) as top from range(8) x(r), range(6) y(r), l, c where x.r < cw and y.r < ch group by x.r, y.r")
-def composite_canvas(spark, sf):
-    """The top layer of each cell of the bounding canvas; every layer paints its own cells, later ones on top."""
-    l = spark.createDataFrame(_LAYERS, "layer int, x0 int, y0 int, w int, h int")
-    size = l.agg(F.max(F.col("x0") + F.col("w")).alias("cw"), F.max(F.col("y0") + F.col("h")).alias("ch"))
-    cells = size.select(F.explode(F.expr("sequence(0, cw - 1)")).alias("x"), "ch").select(F.col("x").cast("long").alias("x"), F.explode(F.expr("sequence(cast(0 as bigint), cast(ch - 1 as bigint))")).alias("y"))
-    painted = l.select("layer", F.explode(F.expr("sequence(cast(x0 as bigint), cast(x0 + w - 1 as bigint))")).alias("x"), "y0", "h").select("layer", "x", F.explode(F.expr("sequence(cast(y0 as bigint), cast(y0 + h - 1 as bigint))")).alias("y"))
-    top = painted.groupBy("x", "y").agg(F.max("layer").alias("layer"))
-    return cells.join(top, ["x", "y"], "left").select("x", "y", F.coalesce("layer", F.lit(-1)).alias("top"))
