@@ -16,6 +16,7 @@ regression. Runs of single characters count as one more word, so spaced-out insu
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -283,8 +284,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             left -= r.bytes
             chosen.append((r.doc_id,))
     ids = docs.sparkSession.createDataFrame(chosen, sample.select("doc_id").schema)
-    taken = sample.join(F.broadcast(ids), "doc_id").select("text", "toxic").toArrow()
-    return train(taken.column(0).to_pylist(), [int(v > 0) for v in taken.column(1).to_pylist()])
+    taken = sample.join(F.broadcast(ids), "doc_id").select("text", "toxic").coalesce(1)
+    made = arrow_map(taken, _fitter, "model binary").collect()
+    return pickle.loads(made[0].model) if made else train([], [])
+
+
+def _fitter(batches):
+    """The model of a task's rows (the whole sample), pickled: so the fit takes an executor's memory, not the driver's,
+    and is made again if the executor is lost."""
+    texts, toxic = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        toxic += [int(v > 0) for v in batch.column(1).to_pylist()]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, toxic))], pa.binary())], ["model"])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

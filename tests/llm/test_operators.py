@@ -576,8 +576,8 @@ def test_toxicity_bounds(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x" * 100 + " kori") for i in range(30)] + [(30, "y" * 10_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(31)], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1200)
-    seen, original = [], toxicity.train
-    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append(texts) or original(texts, toxic))
+    seen, original = [], toxicity.arrow_map
+    monkeypatch.setattr(toxicity, "arrow_map", lambda df, f, schema: (seen.append([r.text for r in df.collect()]) if f is toxicity._fitter else None) or original(df, f, schema))
     toxicity.fit(docs, labels)
     assert seen[0] and sum(map(len, seen[0])) <= 1200 and set(map(len, seen[0])) == {105}
     empty = toxicity.fit(docs.limit(0), labels)
