@@ -71,6 +71,8 @@ def map_messages(df: DataFrame, on_packet=None, on_frame=None, on_event=None, ki
 
 def join(name: str, registry: Registry, key: str, left: DataFrame, right: DataFrame, schema: str) -> DataFrame:
     """A registered join of two arms: function(left table, right table) of one key's rows, in Arrow."""
+    # columns of its own, as the planner would else take those of two arms of one DataFrame for each other
+    right = right.select(*(F.col(f"`{c}`").alias(c) for c in right.columns))
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(registry.get("join", name), schema)
 
 

@@ -1,5 +1,7 @@
 """Containers as Python data sources: ``spark.read.format("ivf" | "matroska" | "mp4").load(path)``.
 
+``df.write.format("ivf").save(path)`` writes rows (stream, pts, payload) as a file a stream, <stream>.ivf.
+
 Rows are packets: path, track, n (place in the track), pts and dts in nanoseconds, duration, key, codec, payload. A file
 is one partition, read as a stream, one packet in memory at a time (of MP4 also its sample tables). Paths are read
 through Arrow's file systems (local, hdfs, s3, gs), so executors open them as the driver does. A file that is cut off
@@ -9,8 +11,10 @@ gives the packets before the cut; one that isn't of the format raises.
 from __future__ import annotations
 
 import struct
+import uuid
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, track long, n long, pts_ns long, dts_ns long, duration_ns long, key boolean, codec string, payload binary"
 SECOND = 1_000_000_000
@@ -265,6 +269,12 @@ def mp4(f):
 FORMATS = {"ivf": ivf, "matroska": matroska, "mp4": mp4}
 
 
+def opened(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -274,24 +284,19 @@ class _Reader(DataSourceReader):
     def __init__(self, kind: str, path: str):
         self.kind, self.path = kind, path
 
-    def _files(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + self.path)
-
     def partitions(self):
         from pyarrow import fs
 
-        system, path = self._files()
+        system, path = opened(self.path)
         info = system.get_file_info(path)
         if info.type == fs.FileType.Directory:
-            return [_File(x.path) for x in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda x: x.path) if x.type == fs.FileType.File]
+            return [_File(x.path) for x in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda x: x.path) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
         return [_File(path)]
 
     def read(self, partition):
         if partition is None:
             return
-        system, _ = self._files()
+        system, _ = opened(self.path)
         with system.open_input_file(partition.path) as f:
             try:
                 for row in FORMATS[self.kind](f):
@@ -314,9 +319,59 @@ class _Container(DataSource):
         return _Reader(self.kind, self.options["path"])
 
 
+@dataclass
+class _Muxed(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class _IvfWriter(DataSourceWriter):
+    """Rows of a stream have to come together and in order. Files are written aside and moved by the commit; an abort
+    removes them."""
+
+    def __init__(self, path: str, names: list[str], options: dict):
+        self.path, self.job = path, uuid.uuid4().hex
+        self.at = [names.index(n) for n in ("stream", "pts", "payload")]
+        self.rate, self.scale, self.codec = int(options.get("rate", 30)), int(options.get("scale", 1)), options.get("codec", "VP80")
+
+    def write(self, rows):
+        system, root = opened(self.path)
+        system.create_dir(f"{root}/_staged", recursive=True)
+        made, out, own = [], None, None
+        head = struct.pack("<4sHH4sHHIIII", b"DKIF", 0, 32, self.codec.encode().ljust(4), 0, 0, self.rate, self.scale, 0, 0)
+        try:
+            for row in rows:
+                stream, pts, payload = (row[i] for i in self.at)
+                if out is None or stream != own:
+                    if out is not None:
+                        out.close()
+                    own, name = stream, f"_staged/{self.job}-{uuid.uuid4().hex}.ivf"
+                    made.append((name, f"{stream}.ivf"))
+                    out = system.open_output_stream(f"{root}/{name}")
+                    out.write(head)
+                payload = bytes(payload or b"")
+                out.write(struct.pack("<IQ", len(payload), pts) + payload)
+        finally:
+            if out is not None:
+                out.close()
+        return _Muxed(made)
+
+    def commit(self, messages):
+        system, root = opened(self.path)
+        for staged, name in (f for m in messages if m is not None for f in m.files):
+            system.move(f"{root}/{staged}", f"{root}/{name}")
+
+    def abort(self, messages):
+        system, root = opened(self.path)
+        for staged, _ in (f for m in messages if m is not None for f in m.files):
+            system.delete_file(f"{root}/{staged}")
+
+
 class Ivf(_Container):
     kind = "ivf"
 
+    def writer(self, schema, overwrite):
+        return _IvfWriter(self.options["path"], schema.fieldNames(), dict(self.options))
+
 
 class Matroska(_Container):
     kind = "matroska"

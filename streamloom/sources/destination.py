@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 def filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
 @dataclass
