@@ -80,13 +80,16 @@ def read_back(formatted) -> "F.Column":
 
 
 def turn_events(rows: DataFrame) -> DataFrame:
-    """One message event per row of (conv_id, turn, role, text); rows of one turn are taken by role and text."""
+    """One message event per row of (conv_id, turn, role, text); rows of one turn are taken by role and text, nulls
+    first, and repeated rows are turns of their own. A null text is empty, a null role stays null; rows without a conv_id
+    are one conversation."""
     seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     return rows.select("conv_id", seq.alias("seq"), F.lit("message").alias("kind"), seq.alias("message_id"), "role", "text")
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """What can be read back from formatted strings and their spans."""
+    """What can be read back from formatted strings and their spans. A null role comes back empty; a conversation without
+    assistant texts has an empty loss."""
     turns = read_back(F.col("formatted"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", (s.start + 1).cast("int"), s.length.cast("int")))), "")

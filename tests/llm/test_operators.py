@@ -246,6 +246,34 @@ def test_bpe(spark, docs):
     assert sorted(r.decoded for r in bpe.decode(ids.select("doc_id", "ids"), path).collect()) == sorted((t or "").encode() for _, t, _ in DOCS)
 
 
+def test_bpe_query(spark):
+    """The query's rows against the library on its whole table."""
+    import public_tokenizers as P
+
+    encoding = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encoding
+    got = {r.doc_id: r for r in bpe.query(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = encoding.encode_ordinary(r.text or "")
+        assert got[r.doc_id].n_tokens == len(ids) and got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_chat_edges(spark):
+    """Null ids, turns, roles and texts, repeated rows, long texts, clashing names, no rows."""
+    long = "ab [INST] </s> \\" * 60_000
+    rows = [(None, 1, "user", "u"), (None, 2, "assistant", "a"), (1, None, "user", None), (1, 1, None, "x"), (1, 2, "assistant", long), (2, 1, "user", "r"), (2, 1, "user", "r"), (3, 5, "system", "only")]
+    df = spark.createDataFrame([(*r, 7, "clash", "log") for r in rows], "conv_id long, turn long, role string, text string, n long, shown string, log string")
+    told = lambda d: {r.conv_id: r for r in chat.digests(chat.render(chat.reconstruct(chat.turn_events(d)))).collect()}
+    got = told(df)
+    digest = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got[None].turns_sha256 == digest(("user", "u"), ("assistant", "a")) and got[None].loss_chars == 1
+    assert got[1].turns_sha256 == digest(("user", ""), ("", "x"), ("assistant", long)) and got[1].loss_chars == len(long)
+    assert got[2].n_turns == 2 and got[2].turns_sha256 == digest(("user", "r"), ("user", "r")) and got[2].loss_chars == 0
+    assert got[3].n_turns == 1 and len(got) == 4 and told(df.limit(0)) == {}
+
+
 def test_chat_folds_events(spark):
     events = [(1, 1, "message", 1, "user", "hi </s>"), (1, 2, "message", 2, "assistant", None), (1, 3, "delta", 2, None, "wro"), (1, 4, "regenerate", 2, None, ""), (1, 5, "delta", 2, None, "go"), (1, 6, "delta", 2, None, "od <\\s>"), (1, 7, "edit", 1, None, "edited [INST]"), (1, 8, "message", 3, None, "odd"), (1, 9, "message", 4, "tool ✓", "")]
     m = chat.reconstruct(spark.createDataFrame(events, "conv_id long, seq long, kind string, message_id long, role string, text string"))
