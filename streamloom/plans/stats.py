@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import media
 from ..functions.rational import up_to
-from ..model import messages
+from ..model import messages, table
 from ..operators import folds
 from ..operators.windows import by, nack_pairs, upto
 from .base import M, RM, q
@@ -118,10 +119,13 @@ def nack_bitmask(spark, sf):
     return lists.select("report", F.posexplode(pairs)).select("report", F.col("pos").cast("long").alias("pair"), "col.first", "col.mask")
 
 
-@q("select path, sum(case when gated then tolerance + playout else 0 end + case when buffered then max_latency else 0 end) as budget from (values ('a', true, 20, 100, true, 50), ('a', false, 20, 100, true, 30), ('b', true, 40, 0, false, 99), ('c', false, 1, 1, false, 1)) t(path, gated, tolerance, playout, buffered, max_latency) group by path")
+_NODE = "l_suppkey as path, l_linenumber % 3 <> 0 as gated, l_partkey % 50 as tolerance, l_orderkey % 100 as playout, l_linenumber % 2 = 0 as buffered, l_partkey % 70 as max_latency"
+
+
+@q(f"select path, sum(case when gated then tolerance + playout else 0 end + case when buffered then max_latency else 0 end)::bigint as budget from (select {_NODE} from lineitem) group by path")
 def path_latency(spark, sf):
-    rows = [("a", True, 20, 100, True, 50), ("a", False, 20, 100, True, 30), ("b", True, 40, 0, False, 99), ("c", False, 1, 1, False, 1)]
-    t = spark.createDataFrame(rows, "path string, gated boolean, tolerance int, playout int, buffered boolean, max_latency int")
+    """What the nodes of a path may add: gates their tolerance and playout delay, buffers the longest wait."""
+    t = table(spark, sf, "lineitem").selectExpr(*media.columns_of(_NODE))
     own = F.when(F.col("gated"), F.col("tolerance") + F.col("playout")).otherwise(0) + F.when(F.col("buffered"), F.col("max_latency")).otherwise(0)
     return t.groupBy("path").agg(F.sum(own).alias("budget"))
 
