@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, written
+from .common import new_path, remove, table, written
 
 SCHEMA = "digest string, keep_id bigint, group_size bigint"
 
@@ -117,9 +117,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = index or DigestIndex(spark, new_path(spark, "index"))
     index.add(reduced)
     facts = index.verdicts(reduced).select("digest", "keep_id", "group_size", F.when(F.col("best_id").eqNullSafe(F.col("keep_id")), F.col("best_row")).alias("keep_row"))
-    out = digests.join(written(facts, "facts").hint("merge"), "digest")
+    facts = written(facts, "facts")
     if own:
         index.close()
+        remove(spark, index.path)
+    out = digests.join(facts.hint("merge"), "digest")
     more = ["row"] if row_col else []
     return out.select("doc_id", "keep_id", "group_size", F.col("row").eqNullSafe(F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"), *more)
 
