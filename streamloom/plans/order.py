@@ -80,12 +80,12 @@ last as (select * from f where (receiver, i) in (select receiver, max(i) from n
 select receiver, seq, row_number() over (partition by receiver order by i, j) - 1 as n from o""")
 def jitter_reorder(spark, sf):
     """Rows released in order by a window of five numbers; what is beyond it discards what waits."""
-    return folds.jitter(_received(spark, sf), "receiver", ["arrival_us", "seq"], "seq", "sender", "number", 5, 6)
+    return folds.jitter(_received(spark, sf), "receiver", ["arrival_us", "seq"], "seq", "sender", "number", 5, 6, apart=True)
 
 
 @q(_RING + "select receiver, sender, expected, late, lost, reordered, len(held) as buffered from last")
 def jitter_stats(spark, sf):
-    return folds.jitter_stats(_received(spark, sf), "receiver", ["arrival_us", "seq"], "seq", "sender", "number", 5, 6)
+    return folds.jitter_stats(_received(spark, sf), "receiver", ["arrival_us", "seq"], "seq", "sender", "number", 5, 6, apart=True)
 
 
 @q(M + "select seq, pts_us // 1000 - (min(pts_us // 1000) over (partition by stream_id)) + ((min(pts_us // 1000) over (partition by stream_id)) % 4294967296) as unwrapped from m")

@@ -79,6 +79,26 @@ def test_jitter(spark):
     assert released(spark, row(1, 4) + row(50, 52, 51, s=2), 8) == ([1, 50, 51, 52], (2, 53, 0, 0, 0, 0))  # another sender
 
 
+def test_jitter_apart(spark):
+    """Rows of one number and different seq are held side by side: the first goes when its turn comes; all go at the end."""
+    rows = [(1, 0, 5, 1), (1, 1, 6, 3), (1, 2, 7, 3), (1, 3, 6, 3), (1, 4, 8, 2), (1, 5, 9, 5), (1, 6, 10, 5)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "k long, i long, seq long, n long, s long")
+    args = (df, "k", ["i"], "seq", "s", "n", 4)
+    assert [r.seq for r in folds.jitter(*args, apart=True).orderBy("n").collect()] == [5, 8, 6, 9, 10]
+    assert [tuple(r) for r in folds.jitter_stats(*args, apart=True).collect()] == [(1, 1, 4, 0, 0, 1, 2)]
+
+
+def test_jitter_dense(spark, tmp_path):
+    """Rows so dense that the six-bit number comes round within the delay of arrivals."""
+    c = duckdb.connect()
+    at = "timestamp '2024-01-01' + to_milliseconds(i * 4300 + i * i * 7919 % 100 * 1000)"
+    c.execute(f"copy (select i as event_id, {at} as ts, i % 7 as user_id, 'view' as event_type, 1.0::double as value, '{{\"k\": 1}}' as props from range(6000) t(i)) to '{tmp_path}/events.parquet'")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    cols = "receiver, sender, expected, late, lost, reordered, buffered"
+    expected = c.execute(f"select {cols} from ({registry.SQL['jitter_stats']})").fetchall()
+    assert plain(registry.QUERIES["jitter_stats"](spark, str(tmp_path)).select(*cols.split(", ")).collect()) == plain(expected)
+
+
 def test_nack(spark):
     lists = [[5, 5, 6, 21, 22], [65535, 0, 3], [7], [], [65535, 15, 16]]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i long, x array<long>")
