@@ -76,6 +76,28 @@ def test_containers(spark, tmp_path):
             spark.read.format(kind).load(f"{tmp_path}/bad").collect()
 
 
+def test_many_containers(spark, tmp_path):
+    """Small files share tasks; one that is cut off takes no other with it; rows that aren't in the writer's order of columns."""
+    containers.register(spark)
+    rows = [(bytes([n]) * n if n else None, n, s) for s in range(700) for n in range(3)]
+    spark.createDataFrame(rows, "payload binary, pts long, stream long").repartition(4, "stream").sortWithinPartitions("stream", "pts").write.format("ivf").mode("append").save(f"{tmp_path}/many")
+    assert len(list((tmp_path / "many").glob("*.ivf"))) == 700
+    whole = (tmp_path / "many/17.ivf").read_bytes()
+    assert whole == ivf_file([(n, bytes([n]) * n) for n in range(3)])[:24].replace(struct.pack("<HH", 64, 48), bytes(4)) + bytes(8) + whole[32:]
+    (tmp_path / "many/17.ivf").write_bytes(whole[:-1])
+    df = spark.read.format("ivf").load(f"{tmp_path}/many")
+    assert df.rdd.getNumPartitions() < 10
+    got = sorted((int(r.path.split("/")[-1][:-4]), r.n, bytes(r.payload)) for r in df.collect())
+    assert got == [(s, n, bytes([n]) * n) for s in range(700) for n in range(3) if (s, n) != (17, 2)]
+
+
+def test_shared_out():
+    each, most = containers.OPENING, containers.SHARE
+    assert containers.shared_out([]) == []
+    assert containers.shared_out([("a", 0), ("b", most), ("c", 5), ("d", 6)]) == [["a"], ["b"], ["c", "d"]]
+    assert [len(s) for s in containers.shared_out([(str(i), 0) for i in range(600)])] == [256, 256, 88] and most // each == 256
+
+
 def test_push(spark):
     told = []
 
